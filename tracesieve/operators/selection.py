@@ -39,7 +39,7 @@ def build_test_set(tail: DataFrame, curves: DataFrame) -> DataFrame:
     return tail.unionByName(curves.where(F.col("y_raw") == HELD_OUT).select(*tail.columns))
 
 
-def train_val_split(df: DataFrame, fraction: float = 0.8, seed: int = 0, key: str = "curve_id") -> DataFrame:
+def train_val_split(df: DataFrame, fraction: float = 0.8, seed: int = 1, key: str = "curve_id") -> DataFrame:
     """Mark the first ``floor(fraction * n)`` rows of the seeded order as ``train``, the rest ``val``."""
     cut = hash_cut(df, key, seed, fraction=fraction)
     return df.withColumn("part", F.when(cut.head(), "train").otherwise("val"))
