@@ -455,15 +455,16 @@ def class_weights(v: Views) -> DataFrame:
 
 
 def _weighted(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Train and validation rows weighted as their upsampled copies would be."""
     return sampling.copy_weights(v.train, "y"), sampling.copy_weights(v.val, "y")
 
 
 @query
 def fit_kernel_classifier(v: Views) -> DataFrame:
     train, _ = _weighted(v)
-    features = distance.anchor_features(train, train, scale=1.0, keep=["y", "weight"])
+    features = distance.anchor_features(train, v.train, scale=1.0, keep=["y", "weight"])
     model = classify.fit_kernel_classifier(features, weight="weight")
-    found = classify.with_weights(train.select("curve_id", "x"), model.coefficients.toArray())
+    found = classify.with_weights(v.train.select("curve_id", "x"), model.coefficients.toArray())
     return found.select("curve_id", r6(F.get("w", F.lit(0))).alias("w"), r6(F.lit(float(model.intercept))).alias("intercept"))
 
 

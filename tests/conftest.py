@@ -1,0 +1,33 @@
+import os
+import sys
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from tracesieve.session import local_session, ship  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = local_session(8, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
+    ship(session)
+    return session
+
+
+@pytest.fixture(scope="session")
+def points():
+    """Seventy planted vectors of six numbers: keys, vectors, raw labels."""
+    rng = np.random.default_rng(7)
+    y = np.array([0] * 40 + [1] * 18 + [2] * 12)
+    x = rng.normal(0, 0.3, (len(y), 6))
+    x[np.arange(len(y)), 2 * y] += 1.5
+    return np.arange(100, 100 + len(y)), x, y
+
+
+@pytest.fixture(scope="session")
+def table(spark, points):
+    ids, x, y = points
+    rows = [(int(i), int(c), int(c > 0), [float(v) for v in r]) for i, r, c in zip(ids, x, y)]
+    return spark.createDataFrame(rows, "curve_id long, y_raw int, y int, x array<double>").repartition(3)
