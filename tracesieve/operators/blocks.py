@@ -22,11 +22,15 @@ CELLS = 4 << 20  # point x anchor cells computed at once in a task
 
 @dataclass(frozen=True)
 class Limits:
-    """Largest anchor table that may be broadcast, and the tile edge used beyond it."""
+    """Largest anchor table that may be broadcast, and the tile edge used beyond it.
+
+    ``spread`` is off where the points are known to be spread over the cores already.
+    """
 
     rows: int = 16384
     bytes: int = 256 << 20
     block: int = 2048
+    spread: bool = True
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -83,9 +87,10 @@ def fetch(anchors: DataFrame | pa.Table, limits: Limits) -> pa.Table | None:
 Tile = Callable[[pa.Table, pa.Table], pa.Table]
 
 
-def _as_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
-    picked = [F.col(c).cast("array<double>").alias(c) if c == VEC else F.col(c) for c in columns]
-    return df.select(*picked)
+def _as_vectors(df: DataFrame) -> DataFrame:
+    if df.schema[VEC].dataType == T.ArrayType(T.DoubleType()):
+        return df
+    return df.select(*[F.col(c).cast("array<double>").alias(c) if c == VEC else F.col(c) for c in df.columns])
 
 
 def against_anchors(
@@ -105,9 +110,9 @@ def against_anchors(
     point over anchor blocks (``partial`` names the tile function and schema of those rows
     where they differ).
     """
-    points = _as_vectors(points, points.columns)
+    points = _as_vectors(points)
     if isinstance(anchors, DataFrame):
-        anchors = _as_vectors(anchors, anchors.columns)
+        anchors = _as_vectors(anchors)
     table = fetch(anchors, limits)
     if table is not None:
         shared = points.sparkSession.sparkContext.broadcast(table)
@@ -120,7 +125,7 @@ def against_anchors(
                     rows = pa.Table.from_batches([batch.slice(start, step)])
                     yield from tile(rows, known).to_batches()
 
-        return spread(points).mapInArrow(run, schema)
+        return (spread(points) if limits.spread else points).mapInArrow(run, schema)
 
     if isinstance(anchors, pa.Table):
         anchors = points.sparkSession.createDataFrame(anchors)

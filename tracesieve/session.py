@@ -80,16 +80,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def spread(df: DataFrame, bytes_per_task: int = 32 << 20) -> DataFrame:
+def is_small(df: DataFrame, bytes_per_task: int = 32 << 20) -> bool:
+    """Whether the optimizer's size estimate is below one modest partition per core."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size < df.sparkSession.sparkContext.defaultParallelism * bytes_per_task
+
+
+def spread(df: DataFrame) -> DataFrame:
     """Use every core on an input too small to be split by the scan.
 
     Vector work costs far more than its bytes suggest, so a small file read as
     one partition is spread out.  Inputs that already fill the cluster are left
     alone: no extra shuffle at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * bytes_per_task else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
 
 
 def compact(df: DataFrame, rows: int, row_bytes: int, bytes_per_task: int = 64 << 20) -> DataFrame:
