@@ -532,7 +532,7 @@ def novelty_table_query(v: Views) -> DataFrame:
     train, val = _weighted(v)
     model = classify.tune_kernel_classifier(train, val)
     scored = classify.score(v.test, model, keep=["y_raw", "x"])
-    found = discover(v.screened, scored, v.pool, model.scale, last=True)
+    found = discover(v.screened, scored, v.test, v.pool, model.scale, last=True)
     return novelty_table(found.points)
 
 

@@ -25,12 +25,21 @@ class Limits:
     """Largest anchor table that may be broadcast, and the tile edge used beyond it.
 
     ``spread`` is off where the points are known to be spread over the cores already.
+    Broadcasts made under these limits are added to ``bag``, if given, for the caller to
+    destroy once the results are used: a loop would otherwise keep one per round.
     """
 
     rows: int = 16384
     bytes: int = 256 << 20
     block: int = 2048
     spread: bool = True
+    bag: list | None = None
+
+    def share(self, spark, value):
+        shared = spark.sparkContext.broadcast(value)
+        if self.bag is not None:
+            self.bag.append(shared)
+        return shared
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -77,9 +86,17 @@ def power_distance(a: np.ndarray, b: np.ndarray, l: float) -> np.ndarray:
 
 
 def fetch(anchors: DataFrame | pa.Table, limits: Limits) -> pa.Table | None:
-    """The anchor table in key order, or None when it is over the limits."""
-    table = anchors if isinstance(anchors, pa.Table) else anchors.limit(limits.rows + 1).toArrow()
-    if table.num_rows > limits.rows or table.nbytes > limits.bytes:
+    """The anchor table in key order, or None when it is over the limits.
+
+    One row tells the width, so no more rows are asked for than the byte limit allows.
+    """
+    if isinstance(anchors, pa.Table):
+        table, most = anchors, limits.rows
+    else:
+        first = anchors.select(F.size(VEC)).first()
+        most = min(limits.rows, limits.bytes // (8 * max(1, first[0] if first else 1)))
+        table = anchors.limit(most + 1).toArrow()
+    if table.num_rows > most or table.nbytes > limits.bytes:
         return None
     return table.sort_by(KEY)
 
@@ -115,7 +132,7 @@ def against_anchors(
         anchors = _as_vectors(anchors)
     table = fetch(anchors, limits)
     if table is not None:
-        shared = points.sparkSession.sparkContext.broadcast(table)
+        shared = limits.share(points.sparkSession, table)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = shared.value
