@@ -40,14 +40,12 @@ class HashCut:
     size: int
     total: int
     order: str | None
-    value: object
 
     def head(self) -> Column:
         """True for rows of the head: a plain filter, no shuffle of the rows themselves."""
         if self.order is None:
             return F.lit(False)
-        h = hash_order(self.seed, self.key)
-        return (h < self.order) | ((h == self.order) & (F.col(self.key) <= F.lit(self.value)))
+        return hash_order(self.seed, self.key) <= self.order  # keys are unique, and so are their hashes
 
 
 def hash_cut(df: DataFrame, key: str, seed, size: int | None = None, fraction: float | None = None) -> HashCut:
@@ -67,7 +65,7 @@ def hash_cut(df: DataFrame, key: str, seed, size: int | None = None, fraction: f
             size = int(fraction * total) if size is None else min(size, total)
             rest = size
             if size <= 0:
-                return HashCut(seed, key, 0, total, None, None)
+                return HashCut(seed, key, 0, total, None)
         for digits, n in counts:
             if rest <= n:
                 break
@@ -75,7 +73,7 @@ def hash_cut(df: DataFrame, key: str, seed, size: int | None = None, fraction: f
         prefix += digits
         if n <= 4096 or len(prefix) >= 30:
             row = keyed.where(F.col("h").startswith(prefix)).orderBy("h", "k").offset(rest - 1).limit(1).first()
-            return HashCut(seed, key, size, total, row["h"], row["k"])
+            return HashCut(seed, key, size, total, row["h"])
 
 
 def running_total(df: DataFrame, order: str, columns: list[str], block: int = 65536) -> DataFrame:
