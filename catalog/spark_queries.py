@@ -78,17 +78,13 @@ def ingest_array_archives(v: Views) -> DataFrame:
     )
 
 
-def count_bright():
-    """A toy network: how many inputs of each channel are above the channel mean."""
-
-    def model(batch: np.ndarray) -> np.ndarray:
-        return (batch > 0).sum(axis=(1, 2)).astype(np.float32)
-
-    return model
-
-
 @query
 def feature_from_images(v: Views) -> DataFrame:
+    """A toy network stands in for the model: how many inputs of each channel are above the channel mean."""
+
+    def count_bright():
+        return lambda batch: (batch > 0).sum(axis=(1, 2)).astype(np.float32)
+
     got = featurize(packed(pixels(v.spark, v.sf)), count_bright, size=(12, 12))
     return got.select("curve_id", *[F.get("x", F.lit(i)).cast("double").alias(f"f{i}") for i in range(3)])
 

@@ -10,14 +10,16 @@ from tracesieve.operators.blocks import Limits
 from tracesieve.operators.distance import anchor_features, kernel_expand, pairwise_distance
 from tracesieve.operators.triplet import triplet_hard_pairs, triplet_loss, triplet_terms
 
-TILED = Limits(rows=5, block=16)  # forces the tiled join on seventy rows
+TILED = Limits(rows=5, passes=0, block=16)  # forces the tiled join on seventy rows
+PASSES = Limits(rows=30, passes=9)  # forces several broadcast passes
+WAYS = pytest.mark.parametrize("limits", [Limits(), PASSES, TILED], ids=["broadcast", "passes", "tiled"])
 
 
 def dense(x, l):
     return (np.abs(x[:, None, :] - x[None, :, :]) ** l).sum(axis=2)
 
 
-@pytest.mark.parametrize("limits", [Limits(), TILED], ids=["broadcast", "tiled"])
+@WAYS
 @pytest.mark.parametrize("l", [1.0, 1.5, 2.0])
 def test_pairwise(table, points, l, limits):
     ids, x, _ = points
@@ -35,11 +37,11 @@ def test_norm_must_be_finite_and_positive(table, l):
         pairwise_distance(table, table, l).collect()
 
 
-@pytest.mark.parametrize("limits", [Limits(), TILED], ids=["broadcast", "tiled"])
+@WAYS
 def test_anchor_features_and_expansion(table, points, limits):
     ids, x, y = points
-    anchors = table.where("y_raw = 1")
-    inside = y == 1
+    anchors = table.where("y_raw < 2")
+    inside = y < 2
     k = np.exp(-dense(x, 2)[:, inside] / 2.0)
     got = anchor_features(table, anchors, 2.0, 2.0, limits, keep=["y"]).toPandas().set_index("curve_id").loc[ids]
     assert np.allclose(np.stack(got["features"]), k)
@@ -69,7 +71,7 @@ def test_kernel_and_grid(spark, table):
     assert np.allclose(wide, [1.0, math.exp(-1)])
 
 
-@pytest.mark.parametrize("limits", [Limits(), TILED], ids=["broadcast", "tiled"])
+@WAYS
 def test_hard_triplets(table, points, limits):
     ids, x, y = points
     d = np.sqrt(dense(x, 2))

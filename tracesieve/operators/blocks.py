@@ -1,6 +1,7 @@
-"""Meet every row with every anchor: broadcast when the anchors are few, tiles when they are not.
+"""Meet every row with every anchor, by how many anchors there are.
 
-Both ways run the same numpy function on (rows of one batch) x (anchors of one block).
+Few: one map with the anchors broadcast.  More: one such map per part of the anchors, merged.
+Very many: tiles of both sides.  All run the same numpy function on (rows) x (anchors).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracesieve.session import spread
+from tracesieve.session import spread, written
 
 KEY, VEC = "curve_id", "x"
 CELLS = 4 << 20  # point x anchor cells computed at once in a task
@@ -22,7 +23,8 @@ CELLS = 4 << 20  # point x anchor cells computed at once in a task
 
 @dataclass(frozen=True)
 class Limits:
-    """Largest anchor table that may be broadcast, and the tile edge used beyond it.
+    """Largest anchor table that may be broadcast, the most passes over the points with a part
+    of the anchors each, and the tile edge used beyond that.
 
     ``spread`` is off where the points are known to be spread over the cores already.
     Broadcasts made under these limits are added to ``bag``, if given, for the caller to
@@ -31,6 +33,7 @@ class Limits:
 
     rows: int = 16384
     bytes: int = 256 << 20
+    passes: int = 32
     block: int = 2048
     spread: bool = True
     bag: list | None = None
@@ -93,14 +96,19 @@ def fetch(anchors: DataFrame | pa.Table, limits: Limits) -> pa.Table | None:
     if isinstance(anchors, pa.Table):
         table, most = anchors, limits.rows
     else:
-        first = anchors.select(F.size(VEC)).first()
-        most = min(limits.rows, limits.bytes // (8 * max(1, first[0] if first else 1)))
+        most = most_rows(anchors, limits)
         table = anchors.limit(most + 1).toArrow()
     if table.num_rows > most or table.nbytes > limits.bytes:
         return None
     return table.sort_by(KEY)
 
 
+def most_rows(anchors: DataFrame, limits: Limits) -> int:
+    """How many anchors of this width may be broadcast."""
+    first = anchors.select(F.size(VEC)).first()
+    return min(limits.rows, limits.bytes // (8 * max(1, first[0] if first else 1)))
+
+
 Tile = Callable[[pa.Table, pa.Table], pa.Table]
 
 
@@ -121,31 +129,59 @@ def against_anchors(
 ) -> DataFrame:
     """Apply ``tile(points, anchors)`` so that every row meets every anchor exactly once.
 
-    Few anchors: one map over the points with the anchors broadcast, no shuffle.  Too many:
-    both sides are cut into hash blocks (keys are unique, so blocks are even), each pair of
-    blocks meets in one task of bounded size, and ``merge`` combines the partial rows of a
-    point over anchor blocks (``partial`` names the tile function and schema of those rows
-    where they differ).
+    Few anchors: one map over the points with the anchors broadcast, no shuffle.  More: they are
+    cut by hash into parts below the limit and each part is broadcast to a map of its own, so the
+    vectors of the points are never shuffled or copied.  Too many parts: both sides are cut into
+    hash blocks (keys are unique, so blocks are even) and each pair of blocks meets in one task
+    of bounded size.  ``merge`` combines the partial rows of a point over anchor parts
+    (``partial`` names the tile function and schema of those rows where they differ).
     """
     points = _as_vectors(points)
     if isinstance(anchors, DataFrame):
         anchors = _as_vectors(anchors)
     table = fetch(anchors, limits)
     if table is not None:
-        shared = limits.share(points.sparkSession, table)
+        return _map_over(points, table, tile, schema, limits)
+    tile, schema = partial or (tile, schema)
+    if isinstance(anchors, pa.Table):
+        anchors = points.sparkSession.createDataFrame(anchors)
+    met = _in_passes(points, anchors, tile, schema, limits)
+    if met is None:
+        met = _in_tiles(points, anchors, tile, schema, limits)
+    return merge(met) if merge else met
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            step = max(1, CELLS // max(1, known.num_rows))
-            for batch in batches:
-                for start in range(0, batch.num_rows, step):
-                    rows = pa.Table.from_batches([batch.slice(start, step)])
-                    yield from tile(rows, known).to_batches()
 
-        return (spread(points) if limits.spread else points).mapInArrow(run, schema)
+def _map_over(points: DataFrame, table: pa.Table, tile: Tile, schema: T.StructType, limits: Limits) -> DataFrame:
+    shared = limits.share(points.sparkSession, table)
 
-    if isinstance(anchors, pa.Table):
-        anchors = points.sparkSession.createDataFrame(anchors)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        step = max(1, CELLS // max(1, known.num_rows))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                rows = pa.Table.from_batches([batch.slice(start, step)])
+                yield from tile(rows, known).to_batches()
+
+    return (spread(points) if limits.spread else points).mapInArrow(run, schema)
+
+
+def _in_passes(points: DataFrame, anchors: DataFrame, tile: Tile, schema: T.StructType, limits: Limits) -> DataFrame | None:
+    """A broadcast map per hash part of the anchors; None if that takes too many passes."""
+    parts = math.ceil(anchors.count() / max(1.0, 0.8 * most_rows(anchors, limits)))
+    if parts > limits.passes:
+        return None
+    stored, out = written(anchors, "anchors"), None
+    for i in range(parts):
+        table = fetch(stored.where(F.pmod(F.xxhash64(KEY), F.lit(parts)) == i), limits)
+        if table is None:
+            return None
+        if table.num_rows:
+            one = _map_over(points, table, tile, schema, limits)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _in_tiles(points: DataFrame, anchors: DataFrame, tile: Tile, schema: T.StructType, limits: Limits) -> DataFrame:
     parts = [max(1, math.ceil(side.count() / limits.block)) for side in (points, anchors)]
 
     def cut(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
@@ -154,8 +190,6 @@ def against_anchors(
 
     left = cut(points, "_i", parts[0], "_j", parts[1])
     right = cut(anchors, "_j", parts[1], "_i", parts[0])
-
-    tile, schema = partial or (tile, schema)
     empty = to_arrow_schema(schema).empty_table()
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -163,5 +197,4 @@ def against_anchors(
             return empty
         return tile(a.drop_columns(["_i", "_j"]), b.drop_columns(["_i", "_j"]).sort_by(KEY))
 
-    met = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(meet, schema)
-    return merge(met) if merge else met
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(meet, schema)
