@@ -80,10 +80,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate: no job is run for it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def is_small(df: DataFrame, bytes_per_task: int = 32 << 20) -> bool:
-    """Whether the optimizer's size estimate is below one modest partition per core."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size < df.sparkSession.sparkContext.defaultParallelism * bytes_per_task
+    """Whether the estimated size is below one modest partition per core."""
+    return estimated_bytes(df) < df.sparkSession.sparkContext.defaultParallelism * bytes_per_task
 
 
 def spread(df: DataFrame) -> DataFrame:
