@@ -64,7 +64,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, whatever folder they start in."""
+    """Make the package importable in Python workers, whatever folder they start in.
+
+    The archive is made on the driver and handed out by Spark; no executor reads that folder.
+    """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

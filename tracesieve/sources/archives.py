@@ -10,11 +10,12 @@ from __future__ import annotations
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tracesieve.functions.labels import recode_labels
-from tracesieve.sources.curves import CURVES
+from tracesieve.sources.curves import CURVES, SAMPLE
 
 MEMBERS = ("x_raw", "y_raw", "x_1D_processed", "x_2D_processed")  # fixed values: array names in an archive
 ROWS = T.StructType(
@@ -23,10 +24,11 @@ ROWS = T.StructType(
 
 
 def _open(path: str):
+    """A seekable stream on the shared file system the path names."""
+    if path.startswith("file:"):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
     from pyarrow import fs
 
-    if path.startswith("file:"):
-        return open(path[len("file:"):].replace("//", "/", 1) if path.startswith("file://") else path[len("file:"):], "rb")
     system, inner = fs.FileSystem.from_uri(path)
     return system.open_input_file(inner)
 
@@ -64,9 +66,7 @@ def _plan(batches):
             if len(rows) != 1:
                 raise ValueError(f"arrays of {path} differ in length: {sorted(rows)}")
             found.append((path, rows.pop(), width))
-        yield frame.iloc[:0].reindex(columns=["path", "n_rows", "width"]) if not found else type(frame)(
-            found, columns=["path", "n_rows", "width"]
-        )
+        yield pd.DataFrame(found, columns=["path", "n_rows", "width"])
 
 
 def _lists(values: pa.Array, n: int, each: int) -> pa.Array:
@@ -81,10 +81,10 @@ def _rows(batches):
                 trace, label, flat, image = [_read_rows(archive, m, start, count) for m in MEMBERS]
             if trace.ndim == 3:
                 fields = [pa.array(np.ascontiguousarray(trace[:, :, i], dtype=np.float64).ravel()) for i in range(4)]
-                samples = pa.StructArray.from_arrays(fields, ["time", "force", "tip_position", "contour_length"])
+                samples = pa.StructArray.from_arrays(fields, SAMPLE.names)
                 trace_col = _lists(samples, count, trace.shape[1])
             else:
-                trace_col = pa.nulls(count, pa.list_(pa.struct([(n, pa.float64()) for n in ("time", "force", "tip_position", "contour_length")])))
+                trace_col = pa.nulls(count, pa.list_(pa.struct([(f.name, pa.float64()) for f in SAMPLE.fields])))
             if flat.ndim == 3:
                 flat_col = _lists(pa.array(flat.astype(np.float64).ravel()), count, flat.shape[1] * flat.shape[2])
             else:
