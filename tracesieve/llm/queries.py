@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tracesieve.llm.fingerprints import near_duplicates
 from tracesieve.llm.packing import pack
 from tracesieve.llm.token_files import read_token_files, write_token_files
 
@@ -12,6 +13,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's fingerprint over 3-word shingles and its group at 3 or fewer differing bits."""
+    found = near_duplicates(_table(spark, sf, "documents"), shingle=3, radius=3, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's token pieces and their places in windows of 4096."""
     return pack(_table(spark, sf, "documents"))
@@ -23,6 +30,7 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_simhash_near_dedup": simhash_near_dedup,
     "op9_packing": packing,
     "op10_token_files": token_files,
 }
