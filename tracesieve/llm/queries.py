@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracesieve.llm.fingerprints import near_duplicates
 from tracesieve.llm.packing import pack
+from tracesieve.llm.quality import THRESHOLD, held_out, score, train
 from tracesieve.llm.token_files import read_token_files, write_token_files
 
 
@@ -13,6 +14,13 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's quality score, by a model fitted on labelled rows that are not held out."""
+    docs = _table(spark, sf, "documents")
+    found = score(docs, train(docs, _table(spark, sf, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's fingerprint over 3-word shingles and its group at 3 or fewer differing bits."""
     found = near_duplicates(_table(spark, sf, "documents"), shingle=3, radius=3, seed=42)
@@ -30,6 +38,7 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_quality_classifier": quality_classifier,
     "op8_simhash_near_dedup": simhash_near_dedup,
     "op9_packing": packing,
     "op10_token_files": token_files,
