@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tracesieve.llm.fingerprints import near_duplicates
 from tracesieve.llm.packing import pack
 from tracesieve.llm.quality import THRESHOLD, held_out, score, train
+from tracesieve.llm.secrets import scan
 from tracesieve.llm.token_files import read_token_files, write_token_files
 
 
@@ -14,6 +15,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The secrets in every document: base spans and linked parts of credentials."""
+    return scan(_table(spark, sf, "documents"))
+
+
 def quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's quality score, by a model fitted on labelled rows that are not held out."""
     docs = _table(spark, sf, "documents")
@@ -38,6 +44,7 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_secret_scan": secret_scan,
     "op7_quality_classifier": quality_classifier,
     "op8_simhash_near_dedup": simhash_near_dedup,
     "op9_packing": packing,
