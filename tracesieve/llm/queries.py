@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracesieve.llm.fingerprints import near_duplicates
+from tracesieve.llm.knn import top_k
 from tracesieve.llm.packing import pack
 from tracesieve.llm.quality import THRESHOLD, held_out, score, train
 from tracesieve.llm.secrets import scan
@@ -20,6 +21,11 @@ def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan(_table(spark, sf, "documents"))
 
 
+def exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 best other vectors of each whose id is divisible by 50."""
+    return top_k(_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's quality score, by a model fitted on labelled rows that are not held out."""
     docs = _table(spark, sf, "documents")
@@ -45,6 +51,7 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op4_secret_scan": secret_scan,
+    "op5_exact_top_k": exact_top_k,
     "op7_quality_classifier": quality_classifier,
     "op8_simhash_near_dedup": simhash_near_dedup,
     "op9_packing": packing,

@@ -96,18 +96,24 @@ def read_block(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_table(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """``doc_id``, ``ids`` (little-endian, unsigned 32-bit, end id included), their count and crc32; one row per input row."""
+    """``doc_id``, ``ids`` (end id included), their count and their crc32 as 32-bit integers; one row per input row.
+
+    The ids are little-endian and unsigned, of as many bits as ``width`` says.
+    """
     ship(docs.sparkSession)
     path = vocabulary_path(vocabulary)
+    kind = width(path, end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end = encoder(path), struct.pack("<I", end_id)
+        tool, end = encoder(path), np.array([end_id], "<u4")
         for batch in batches:
             row = 0
             for ids, counts in tool.encode(batch.column(1)):
-                raw, ends = ids.tobytes(), np.cumsum(counts).tolist()
-                found = [raw[4 * (b - n) : 4 * b] + end for b, n in zip(ends, counts.tolist())]
-                crc = pa.array([zlib.crc32(x) for x in found], pa.int64())
+                whole = np.insert(ids, np.cumsum(counts), end)
+                ends = np.cumsum(counts + 1).tolist()
+                parts = [whole[a:b] for a, b in zip([0, *ends], ends)]
+                crc = pa.array([zlib.crc32(x) for x in parts], pa.int64())
+                found = [x.tobytes() for x in np.split(whole.astype(kind), ends[:-1])]
                 columns = [batch.column(0).slice(row, len(found)), pa.array(found, pa.binary()), pa.array(counts + 1, pa.int64()), crc]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "crc"])
                 row += len(found)
@@ -116,7 +122,12 @@ def token_table(docs: DataFrame, vocabulary: str | None = None, end_id: int = EN
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, schema)
 
 
-def frequency_ranks(table: DataFrame) -> np.ndarray:
+def width(path: str, end_id: int) -> str:
+    """The least of 16 and 32 bits that holds every id of the vocabulary, as a numpy type."""
+    return "<u2" if max(encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def frequency_ranks(table: DataFrame, kind: str) -> np.ndarray:
     """The rank of each token id by its count over all documents, ties to the smaller id.
 
     Tasks send back one count for each id that they saw; ids are at most the vocabulary's, which bounds the result.
@@ -125,11 +136,10 @@ def frequency_ranks(table: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                own = np.bincount(np.frombuffer(raw.as_py(), "<u4"))
-                if len(own) > len(total):
-                    total = np.concatenate((total, np.zeros(len(own) - len(total), np.int64)))
-                total[: len(own)] += own
+            own = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
+            if len(own) > len(total):
+                total = np.concatenate((total, np.zeros(len(own) - len(total), np.int64)))
+            total[: len(own)] += own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -150,8 +160,9 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
     """
     spark = docs.sparkSession
     path = path or work_path(spark, "token-files")
-    table = written(token_table(docs, vocabulary, end_id), "token-ids")
-    rank = spark.sparkContext.broadcast(frequency_ranks(table))
+    table = written(token_table(docs, vocabulary, end_id), "token-ids", compression="zstd")
+    kind = width(vocabulary_path(vocabulary), end_id)
+    rank = spark.sparkContext.broadcast(frequency_ranks(table, kind))
     total = table.agg(F.sum("n_tokens")).head()[0] or 0
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +174,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
             keys["null"] = rows["doc_id"].is_null().to_numpy()
             keys["doc_id"] = rows["doc_id"].fill_null(0).to_numpy()
             keys["ids"] = rows["n_tokens"].to_numpy()
-            own = np.frombuffer(b"".join(rows["ids"].to_pylist()), "<u4")
+            own = np.frombuffer(b"".join(rows["ids"].to_pylist()), kind)
             name = f"ids-{part:06d}-{len(files):06d}.tsv"
             _put(path, name, write_block(keys, own, rank.value))
             files.append((name, part, len(files), len(own)))
