@@ -1,5 +1,19 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
+CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|' || regexp_replace(role, '([<\[|\\])', '\1\\', 'g') || '|>' || regexp_replace(text, '([<\[|\\])', '\1\\', 'g') || '<|end|>'))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 TOP_K = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
@@ -18,5 +32,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 ORACLE_SQL = {
+    "op1_chat_format": CHAT,
     "op5_exact_top_k": TOP_K,
 }
