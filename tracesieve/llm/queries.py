@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tracesieve.llm.chat import best_paths, conversations, linear_messages, read_back
 from tracesieve.llm.fingerprints import near_duplicates
 from tracesieve.llm.knn import top_k
+from tracesieve.llm.licenses import scan_licenses
 from tracesieve.llm.packing import pack
 from tracesieve.llm.quality import THRESHOLD, held_out, score, train
 from tracesieve.llm.secrets import scan
@@ -46,6 +47,11 @@ def exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The licence phrases and templates in every document."""
+    return scan_licenses(_table(spark, sf, "documents"))
+
+
 def quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's quality score, by a model fitted on labelled rows that are not held out."""
     docs = _table(spark, sf, "documents")
@@ -73,6 +79,7 @@ QUERIES = {
     "op1_chat_format": chat_format,
     "op4_secret_scan": secret_scan,
     "op5_exact_top_k": exact_top_k,
+    "op6_license_scan": license_scan,
     "op7_quality_classifier": quality_classifier,
     "op8_simhash_near_dedup": simhash_near_dedup,
     "op9_packing": packing,

@@ -1,5 +1,7 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
+from tracesieve.llm.licenses import LOWER, MORE, TEMPLATES, UPPER
+
 CHAT = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -31,7 +33,37 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+
+
+def licenses_sql() -> str:
+    """Every template tried at every word of a text that has its first phrase: no index, no counts."""
+    every = TEMPLATES + MORE
+    spans = ", ".join(f"CASE WHEN contains(t, '|{'|'.join(t.keys[0][1])}|') THEN list_filter(range(-{len(t.words)}, len(w)), lambda s: " + " AND ".join(f"(s + {k} >= 0 AND list_slice(w, s + {k + 1}, s + {k + len(own)}) = {list(own)})" for k, own in t.keys) + f") ELSE [] END AS p{n}" for n, t in enumerate(every))
+    base = range(len(TEMPLATES))
+    starts = "list_concat(" + ", ".join(f"p{n}" for n in base[:2]) + ")"
+    for n in base[2:]:
+        starts = f"list_concat({starts}, p{n})"
+
+    def labels(which: range) -> str:
+        own = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{every[n].label}' END" for n in which)
+        return f"array_to_string(list_sort(list_distinct([{own}])), ',')"
+
+    shares = ", ".join("coalesce(list_max(list_transform(p%d, lambda s: (%s) / %d.0)), 0)" % (n, " + ".join(f"(CASE WHEN s + {i} >= 0 AND w[s + {i + 1}] = '{x}' THEN 1 ELSE 0 END)" for i, x in enumerate(t.words)), len(t.words)) for n, t in enumerate(every))
+    return f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+),
+n AS (SELECT *, '|' || array_to_string(w, '|') || '|' AS t FROM d),
+p AS (SELECT doc_id, w, {spans} FROM n)
+SELECT doc_id, len(w)::BIGINT AS n_words, len({starts})::BIGINT AS n_base, list_min({starts})::BIGINT AS first_word,
+  list_max({starts})::BIGINT AS last_word, {labels(base)} AS base_labels, {labels(range(len(every)))} AS labels,
+  greatest({shares})::DOUBLE AS score
+FROM p
+"""
+
+
 ORACLE_SQL = {
     "op1_chat_format": CHAT,
+    "op6_license_scan": licenses_sql(),
     "op5_exact_top_k": TOP_K,
 }
