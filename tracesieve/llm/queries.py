@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracesieve.llm.chat import best_paths, conversations, linear_messages, read_back
+from tracesieve.llm.decontaminate import contaminated
 from tracesieve.llm.fingerprints import near_duplicates
 from tracesieve.llm.knn import top_k
 from tracesieve.llm.licenses import scan_licenses
@@ -37,6 +38,11 @@ def chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it repeats."""
+    return contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")).select("doc_id", "item_id", "similarity", "start_word")
+
+
 def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The secrets in every document: base spans and linked parts of credentials."""
     return scan(_table(spark, sf, "documents"))
@@ -77,6 +83,7 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": chat_format,
+    "op3_benchmark_decontamination": benchmark_decontamination,
     "op4_secret_scan": secret_scan,
     "op5_exact_top_k": exact_top_k,
     "op6_license_scan": license_scan,
