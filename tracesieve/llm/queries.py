@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tracesieve.llm.chat import best_paths, conversations, linear_messages, read_back
 from tracesieve.llm.decontaminate import contaminated
 from tracesieve.llm.fingerprints import near_duplicates
+from tracesieve.llm.html_text import extract
 from tracesieve.llm.knn import top_k
 from tracesieve.llm.licenses import scan_licenses
 from tracesieve.llm.packing import pack
@@ -38,6 +39,11 @@ def chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(_table(spark, sf, "pages"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it repeats."""
     return contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")).select("doc_id", "item_id", "similarity", "start_word")
@@ -83,6 +89,7 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": chat_format,
+    "op2_html_extraction": html_extraction,
     "op3_benchmark_decontamination": benchmark_decontamination,
     "op4_secret_scan": secret_scan,
     "op5_exact_top_k": exact_top_k,
