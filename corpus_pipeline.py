@@ -1,28 +1,62 @@
-"""The corpus pipeline: stages over ``documents``, each calling one operator of ``tracesieve.llm``."""
+"""The corpus pipeline: stages over ``documents``, each calling one operator of ``tracesieve.llm``.
+
+Every stage works on all rows that the one before kept, and all but the last return the columns of ``documents``.
+Null columns, repeated rows, empty tables and extra columns are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracesieve.llm.decontaminate import decontaminate
+from tracesieve.llm.fingerprints import keep_one
 from tracesieve.llm.packing import pack
+from tracesieve.llm.quality import keep_good
+from tracesieve.llm.secrets import redact
 from tracesieve.session import written
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model scores at least 0.7."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose fingerprints, over 3-word shingles, are linked at 3 bits or fewer."""
+    return keep_one(docs, shingle=3, radius=3)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat no item of the benchmark."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by the kind of secret."""
+    return redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into token windows."""
+    """The documents' token pieces and their places in windows of 4096 tokens."""
     return pack(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("simhash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scan),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
 
 
-#: The classifier's, fingerprints' and tokenizer's arithmetic is not SQL; the stages are tested against brute force.
+#: The classifier's, the fingerprints' and the tokenizer's arithmetic is not SQL; the stages are tested against brute force.
 ORACLE_SQL = None

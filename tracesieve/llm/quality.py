@@ -21,7 +21,7 @@ WORDS = 1 << 16
 FACTORS = 4
 THRESHOLD = 0.7
 #: Bytes of text whose features are counted at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 # The bins of a share between 0 and 1, and the classes of bytes whose shares are statistics.
 _BINS = np.array([0.0005, 0.002, 0.005, 0.01, 0.02, 0.04, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5, 0.75])
@@ -101,6 +101,21 @@ def features(texts: pa.Array, stated: np.ndarray) -> Rows:
     return Rows(end, at, values)
 
 
+def sliced(texts: pa.Array, stated: np.ndarray) -> Iterator[Rows]:
+    """``features`` of runs of texts in order, so that memory follows ``SLICE`` and the longest text."""
+    ends, at = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+        yield features(texts.slice(at, to - at), stated[at:to])
+        at = to
+
+
+def joined(parts: list[Rows]) -> Rows:
+    """The rows of all parts in order."""
+    sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(p.cuts) for p in parts]])
+    return Rows(np.cumsum(sizes), *[np.concatenate([getattr(p, name) for p in parts] or [np.zeros(0, kind)]) for name, kind in (("at", np.int64), ("values", np.float32))])
+
+
 @dataclass
 class FactorisationMachine:
     """``bias + sum w x + sum over pairs <v_i, v_j> x_i x_j``, the pairs in linear time: half of (sum v x)^2 less sum (v x)^2."""
@@ -173,8 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     one = known.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "quality")
     rows = _read(docs).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).toPandas()
-    found = features(pa.array(rows["text"], pa.large_string()), rows["stated"].to_numpy(np.float64))
-    return fit(found, rows["quality"].to_numpy(np.float64))
+    found = list(sliced(pa.array(rows["text"], pa.large_string()), rows["stated"].to_numpy(np.float64)))
+    return fit(joined(found), rows["quality"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, keep: bool = False) -> DataFrame:
@@ -191,11 +206,7 @@ def score(docs: DataFrame, model: FactorisationMachine, keep: bool = False) -> D
         own = FactorisationMachine(*shared.value)
         for batch in batches:
             texts, stated = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            ends, found, at = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)), [], 0
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
-                found.append(own.scores(features(texts.slice(at, to - at), stated[at:to])))
-                at = to
+            found = [own.scores(rows) for rows in sliced(texts, stated)]
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *batch.columns[3:]], names=["doc_id", "score", "row"][: batch.num_columns - 1])
 
