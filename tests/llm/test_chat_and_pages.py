@@ -1,0 +1,150 @@
+"""Chat formatting and page extraction."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracesieve.llm import chat
+from tracesieve.llm.html_text import Forest, TreeModel, extract, main_text, trained
+from tracesieve.llm.pages import labelled_pages, parse
+
+MESSAGES = "tree string, node string, parent string, score double, role string, text string"
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    rows = [
+        ("t", "1", None, 1.0, "user", "ask"),
+        ("t", "2", "1", 0.0, "assistant", "bad"),
+        ("t", "3", "1", 4.0, "assistant", "good [INST]"),
+        ("t", "4", "3", None, "user", "thanks </s>"),
+        ("t", "5", "3", 7.0, "user", "more"),
+        ("t", "6", "5", 1.0, "assistant", "|>\\<|end|>"),
+        ("u", "1", "none", 1.0, "user", "orphan"),
+        ("v", "1", "2", 1.0, "user", "loop"),
+        ("v", "2", "1", 1.0, "user", "loop"),
+        ("v", "3", "2", 1.0, "user", "under a loop"),
+    ]
+    return spark.createDataFrame(rows, MESSAGES).repartition(3)
+
+
+def read(paths):
+    made = chat.conversations(paths)
+    turns, loss = chat.read_back(F.col("formatted"), F.col("loss"))
+    return {(r["tree"], r["leaf"]): (r["branch"], [tuple(t) for t in r["turns"]], r["under"], r["formatted"]) for r in made.select("*", turns.alias("turns"), loss.alias("under")).collect()}
+
+
+def test_all_paths_of_a_tree(tree):
+    got = read(chat.best_paths(tree))
+    assert {k: (v[0], [t for _, t in v[1]], v[2]) for k, v in got.items()} == {
+        ("t", "6"): (1, ["ask", "good [INST]", "more", "|>\\<|end|>"], "good [INST]|>\\<|end|>"),
+        ("t", "4"): (2, ["ask", "good [INST]", "thanks </s>"], "good [INST]"),
+        ("t", "2"): (3, ["ask", "bad"], "bad"),
+        ("u", "1"): (1, ["orphan"], ""),
+    }
+    for _, turns, _, formatted in got.values():
+        assert formatted.count("<|end|>") == len(turns) and "[INST]" not in formatted and "</s>" not in formatted
+
+
+def test_best_path_only(tree):
+    assert set(read(chat.best_paths(tree, best=1))) == {("t", "6"), ("u", "1")}
+
+
+def test_long_thread_and_odd_rows(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i} é🙂") for i in range(150)]
+    rows += [(None, 1, "user", "x"), (None, None, None, None), (2, 1, "assistant", "same"), (2, 1, "assistant", "same"), (2, 1, "assistant", None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit("clash")).repartition(4)
+    got = read(chat.best_paths(chat.linear_messages(table)))
+    assert [t for _, t in got["=1", "150"][1]] == [f"turn {i} é🙂" for i in range(150)]
+    assert got["-", "2"][1] == [("", ""), ("user", "x")]
+    assert got["=2", "3"][1] == [("assistant", ""), ("assistant", "same"), ("assistant", "same")] and got["=2", "3"][2] == "samesame"
+    assert len(got) == 3
+
+
+def test_no_messages(tree):
+    assert read(chat.best_paths(tree.where("false"))) == {}
+
+
+def test_escape_is_reversible(spark):
+    texts = ["", "\\", "<", "<\\", "\\<|", "[INST]</s><|end|>|>", "||\\\\[[<<", "plain\n<|user|>"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escaped(F.col("t")).alias("e"), chat.unescaped(chat.escaped(F.col("t"))).alias("u")).collect()
+    assert all(r["u"] == r["t"] and "<|" not in r["e"] and "[INST]" not in r["e"] and "</s>" not in r["e"] for r in rows)
+
+
+def test_query_reads_back_conversations(spark):
+    from tracesieve.llm.queries import QUERIES
+
+    got = {r["conv_id"]: r for r in QUERIES["op1_chat_format"](spark, "/root/testdata/sf0.001").collect()}
+    text = "</s>[INST] ok [/INST]"
+    own = got[-7]
+    assert own["n_turns"] == 2 and own["loss_chars"] == len(text) and own["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert own["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_marginals_are_those_of_all_labellings():
+    rng = np.random.default_rng(3)
+    page = parse('<div class="a"><p>x <b>y</b></p><ul><li>z</ul></div>')
+    model = TreeModel(rng.normal(0, 1, 4096), rng.normal(0, 1, (256, 2, 2)))
+    f, n = Forest.of([page]), len(page.parent)
+    weight = np.zeros(n)
+    for i in range(n):
+        weight[i] = model.weights[page.at[page.cuts[i] : page.cuts[i + 1]]].sum()
+    total, on, pair = 0.0, np.zeros(n), np.zeros((n, 2, 2))
+    for code in range(1 << n):
+        s = [(code >> i) & 1 for i in range(n)]
+        w = np.exp(sum(weight[i] * s[i] for i in range(n)) + sum(model.edges[page.edge[i]][s[page.parent[i]], s[i]] for i in range(1, n)))
+        total += w
+        for i in range(n):
+            on[i] += w * s[i]
+            if i:
+                pair[i, s[page.parent[i]], s[i]] += w
+    content, pairs = model.marginals(f)
+    assert np.allclose(content, on / total) and np.allclose(pairs, pair / total)
+
+
+def test_held_out_pages():
+    pages = [parse(p) for p in labelled_pages(150, seed=11)]
+    content, _ = trained().marginals(Forest.of(pages))
+    at, right, all_ = 0, 0, 0
+    for p in pages:
+        leaves = [n for n, _, _ in p.texts if n >= 0]
+        right += sum((content[at + n] >= 0.5) == p.labels[n] for n in leaves)
+        all_ += len(leaves)
+        at += len(p.parent)
+    assert right / all_ > 0.98
+
+
+PAGES = {
+    '<body><header>Site</header><nav><a href="/">Home</a></nav><article><h1>A &amp; B</h1><p>One\n  <b>two</b>,<br>three.<script>x("</p>")</script></p><div class="ad">Buy</div><p>Ca<i>fé</i>&nbsp;&lt;x&gt;</article><footer>&copy; me</footer>': "A & B One two, three. Café <x>",
+    '<article><h1>T</h1><p>Long enough to be read.</p><section class="comments"><p>A reader says so.</p></section></article><aside>More</aside>': "T Long enough to be read.",
+    '<article><p>Cut off in a tag.</p><p>Half a word <a href="/x': "Cut off in a tag. Half a word",
+    "<article><p>Unclosed <!-- comment": "Unclosed",
+    "": "",
+    None: "",
+    "<": "",
+}
+
+
+def test_pages(spark):
+    rows = [(i, f"u{i}", h) for i, h in enumerate(PAGES)] + [(None, None, "<article><p>No key.</p></article>")] * 2 + [(99, "deep", "<div>" * 3000 + "x")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = extract(table).collect()
+    assert len(got) == len(rows)
+    assert {r["page_id"]: r["text"] for r in got if r["page_id"] is not None and r["page_id"] < 99} == dict(enumerate(PAGES.values()))
+    assert [r["text"] for r in got if r["page_id"] is None] == ["No key."] * 2
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    assert extract(table.where("false")).count() == 0
+
+
+def test_given_pages_keep_their_articles(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in extract(table).join(table, "page_id").collect():
+        page = parse(r["html"])
+        inside, node = set(), 0
+        for node, over in enumerate(page.parent):
+            if over in inside or page.edge[node] == parse("<body><article>").edge[2] and over >= 0:
+                inside.add(node)
+        want = main_text(page, np.array([float(n in inside) for n in range(len(page.parent))]))
+        assert r["text"] == want

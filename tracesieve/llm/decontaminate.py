@@ -74,9 +74,9 @@ def _anchors(items: DataFrame, similarity: float) -> DataFrame:
     return kept.select(F.col("a.h").alias("h"), "k", F.col("a.at").alias("at"), "n").distinct()
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a hash of key and text: rows that share it are copies of one another."""
-    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+def row_key() -> Column:
+    """A hash of key and text: rows that share it are copies of one another."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -91,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     anchors = written(_anchors(items, similarity), "benchmark-anchors")
     ks = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most SHINGLE values
     n_anchors = anchors.count()
-    read = keyed(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"), "_row")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"), row_key().alias("_row"))
     index = F.broadcast(anchors) if n_anchors <= BROADCAST_ANCHORS else anchors
     starts = None
     for k in ks:
@@ -122,4 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with their columns as they are."""
     gone = written(contaminated(docs, benchmark, similarity).select("_row").distinct(), "contaminated")
-    return keyed(docs).join(gone, "_row", "left_anti").select(docs.columns)
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    return docs.withColumn(key, row_key()).join(gone.withColumnRenamed("_row", key), key, "left_anti").drop(key)

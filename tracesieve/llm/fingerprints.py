@@ -145,10 +145,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = SEE
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id")
     if again.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     # Rows that share a doc_id, or have none, are told apart by fingerprint and, among equal ones, by their columns.
     same = docs["doc_id"].eqNullSafe(again["doc_id"])
-    single = docs.join(again, same, "left_anti").join(gone, "doc_id", "left_anti").select(docs.columns)
+    single = docs.join(again, same, "left_anti").join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     rows = fingerprints(docs.join(again, same, "left_semi"), shingle, seed, keep=True)
     heads = found.groupBy("fp").agg(F.min("component_id").alias("component_id"))
     texts = [F.coalesce(F.col(f"row.`{c}`").cast("string"), F.lit("\0")) for c in docs.columns]

@@ -100,20 +100,20 @@ def parse(source: str | None) -> Page:
     """The tree of a page, however badly it nests: unclosed elements end with their parents, what was cut off at its end is left out."""
     source, page = source or "", Page()
     root = page.add(-1, "root", ["root"], 0)
-    # The open elements: tag, node, label, whether inside a link.
-    stack: list[tuple[str, int, int, bool]] = [("", root, 0, False)]
+    # The open elements: tag, node, label, whether inside a link, and what their names tell those directly inside.
+    stack: list[tuple[str, int, int, bool, list[str]]] = [("", root, 0, False, [])]
     at, broken = 0, True
 
     def text(raw: str) -> None:
         nonlocal broken
         if not raw:
             return
-        tag, node, label, linked = stack[-1]
+        tag, node, label, linked, names = stack[-1]
         if raw.isspace():
             page.texts.append((-1, " ", broken))
         else:
             decoded = html.unescape(raw)
-            leaf = page.add(node, "text in " + tag, _text_features(decoded, tag, linked), label)
+            leaf = page.add(node, "text in " + tag, _text_features(decoded, tag, linked) + names, label)
             page.texts.append((leaf, decoded, broken))
         broken = False
 
@@ -144,22 +144,23 @@ def parse(source: str | None) -> Page:
                 if lowest:
                     del stack[lowest:]
             broken |= tag not in INLINE
-            over, parent, inherited, linked = stack[-1]
+            over, parent, inherited, linked, names = stack[-1]
             features, label = _element_features(tag, m["rest"], over)
+            inside = ["in " + f for f in features if f.startswith(("name ", "hint "))]
             label = inherited if label is None else label
-            node = page.add(parent, f"{over} {tag}", features, label)
+            node = page.add(parent, f"{over} {tag}", features + names, label)
             if tag in VOID or m["rest"].endswith("/") and tag not in INLINE | CLOSES_P:
                 continue
             if tag in RAW or tag in RCDATA:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
                 own = source[at : end.start() if end else len(source)]
                 if tag in RCDATA:
-                    stack.append((tag, node, label, linked))
+                    stack.append((tag, node, label, linked, inside))
                     text(own)
                     stack.pop()
                 at = end.start() if end else len(source)
                 continue
-            stack.append((tag, node, label, linked or tag == "a"))
+            stack.append((tag, node, label, linked or tag == "a", inside))
         elif m["end"]:
             tag = m["end"].lower()
             broken |= tag not in INLINE
@@ -178,10 +179,10 @@ BOILER = {
     "header": ("header site-header masthead page-header top-bar topbar branding logo hero-banner", "header div"),
     "footer": ("footer site-footer page-footer bottom colophon copyright legal credits footer-links", "footer div"),
     "side": ("sidebar side-bar aside widget widgets rail right-rail secondary left-column related related-posts related-articles recommended more-stories trending popular tags author-box", "aside div section"),
-    "notice": ("notice cookie cookie-notice cookie-banner consent gdpr alert banner announcement disclaimer paywall popup modal overlay newsletter subscribe subscription signup warning message", "div section aside"),
-    "ad": ("ad ads advert advertisement ad-slot ad-container adsbygoogle sponsored sponsor promo promotion promoted banner-ad dfp partner affiliate", "div aside section ins"),
+    "notice": ("notice cookie-notice cookie banner cookie-banner consent gdpr alert announcement disclaimer paywall popup modal overlay newsletter subscribe subscription signup warning message", "div section aside"),
+    "ad": ("ad ads advertisement advert ad-slot ad-container adsbygoogle sponsored sponsor promo promotion promoted banner-ad dfp partner affiliate", "div aside section ins"),
     "form": ("form search search-form login login-form contact-form subscribe-form signup-form poll", "form"),
-    "comments": ("comments comment comment-list comments-area user-comments discussion responses replies disqus reader-comments comment-thread reactions", "section div ol"),
+    "comments": ("comments comment user-comments comment-list comments-area discussion responses replies disqus reader-comments comment-thread reactions", "section div ol"),
     "share": ("share social share-buttons social-links sharing share-bar toolbar follow-us", "div ul"),
 }
 GOOD = "content article article-body article-content post post-content post-body entry entry-content story story-body main main-content text body-text prose blog-post page-content".split()
@@ -203,7 +204,7 @@ def labelled_pages(count: int, seed: int = 42) -> list[str]:
         kind = kind or rng.choice(list(BOILER))
         names, tags = BOILER[kind]
         tag = rng.choice(tags.split())
-        name = rng.choice(names.split())
+        name = rng.choice(rng.choice([names.split(), names.split()[:4]]))
         own = rng.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {rng.choice(["x1", "wide", "clearfix", "left"])}"', f' role="{name}"'])
         if tag in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.5:
             own = ""
