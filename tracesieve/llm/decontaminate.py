@@ -43,9 +43,9 @@ def _numbered(words: str, k: str) -> Column:
 
 
 def _prints(rows: DataFrame) -> DataFrame:
-    """Add the fingerprint ``fp`` and the numbered shingles ``bag`` of ``words`` in shingles of ``k``."""
+    """Add the fingerprint ``fp`` of ``words`` in shingles of ``k``."""
     hashed = rows.withColumn("hashes", F.expr(f"transform({_shingles('words', 'k')}, s -> xxhash64(s))"))
-    return hashed.withColumn("fp", _simhash("hashes")).withColumn("bag", _numbered("words", "k")).drop("hashes")
+    return hashed.withColumn("fp", _simhash("hashes")).drop("hashes")
 
 
 def _block(fp: str, b: int) -> Column:
@@ -54,7 +54,7 @@ def _block(fp: str, b: int) -> Column:
 
 
 def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The benchmark's different texts: ``item`` (the least id), ``words``, ``n`` of them, shingle length ``k``, ``fp`` and ``bag``.
+    """The benchmark's different texts: ``item`` (the least id), ``words``, ``n`` of them, shingle length ``k`` and ``fp``.
 
     Items without words are left out; repeated ones, and those that differ in case or punctuation only, are one.
     """
@@ -104,17 +104,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return docs.sparkSession.createDataFrame([], "_row long, doc_id long, item_id long, similarity double, start_word long")
     places = written(starts.groupBy("_row").agg(F.collect_set(F.struct("n", "k", "start")).alias("places")), "benchmark-places")
     cut = F.transform("places", lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["start"].alias("start"), F.slice("words", p["start"] + 1, p["n"]).alias("words")))
-    laid = read.join(places, "_row").dropDuplicates(["_row"]).select("_row", "doc_id", F.explode(cut).alias("w")).select("_row", "doc_id", "w.*")
+    laid = read.join(places, "_row").select("_row", "doc_id", F.explode(cut).alias("w")).select("_row", "doc_id", "w.*")
     windows = _prints(laid)
     # The multi-index: a window's blocks against every value within reach of an item's block.
     reach = radius // len(BLOCKS)
-    near = [F.expr(f"transform(filter(sequence(0L, {(1 << bits) - 1}L), m -> bit_count(m) <= {reach}), m -> m ^ block{b})") for b, bits in enumerate(BLOCKS)]
+    values = [F.expr(f"transform(filter(sequence(0L, {(1 << bits) - 1}L), m -> bit_count(m) <= {reach}), m -> m ^ block{b})") for b, bits in enumerate(BLOCKS)]
     blocks = items.withColumns({f"block{b}": _block("fp", b) for b in range(len(BLOCKS))})
-    lookup = blocks.select("item", "n", "k", F.col("fp").alias("item_fp"), F.col("bag").alias("item_bag"), F.posexplode(F.array(*near)).alias("block", "values")).withColumn("value", F.explode("values")).drop("values")
-    sought = windows.withColumn("blocks", F.array(*[_block("fp", b) for b in range(len(BLOCKS))])).select("*", F.posexplode("blocks").alias("block", "value")).drop("blocks", "words")
+    lookup = blocks.select("item", "n", "k", F.col("fp").alias("item_fp"), F.posexplode(F.array(*values)).alias("block", "values")).withColumn("value", F.explode("values")).drop("values")
+    sought = windows.withColumn("blocks", F.array(*[_block("fp", b) for b in range(len(BLOCKS))])).select("*", F.posexplode("blocks").alias("block", "value")).drop("blocks")
     apart = F.expr("bit_count(fp ^ item_fp)")
-    inner = F.size(F.array_intersect("bag", "item_bag"))
-    found = sought.join(lookup, ["n", "k", "block", "value"]).where(apart <= radius).withColumn("same", inner).withColumn("similarity", F.col("same") / (F.size("bag") + F.size("item_bag") - F.col("same")))
+    near = sought.join(lookup, ["n", "k", "block", "value"]).where(apart <= radius).select("_row", "doc_id", "item", "start", "k", "words")
+    texts = items.select("item", _numbered("words", "k").alias("item_bag"))
+    found = near.join(texts, "item").withColumn("bag", _numbered("words", "k")).withColumn("same", F.size(F.array_intersect("bag", "item_bag")))
+    found = found.withColumn("similarity", F.col("same") / (F.size("bag") + F.size("item_bag") - F.col("same")))
     best = found.where(F.col("similarity") >= similarity).groupBy("_row", "item").agg(F.first("doc_id").alias("doc_id"), F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("_row", "doc_id", F.col("item").alias("item_id"), F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("start_word"))
 
