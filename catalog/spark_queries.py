@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalog.views import ROUND_SIZE, SCALE, Views, curves, number, packed, pixels, r6, raw_curves, weight, write_archives
+from catalog.views import ROUND_SIZE, SCALE, Views, number, packed, pixels, r6, raw_curves, weight, write_archives
 from tracesieve.functions import images, labels
 from tracesieve.functions.geometry import midpoint_normal, signed_projection
 from tracesieve.functions.kernels import SCALES, kernel, kernel_means
@@ -15,7 +15,7 @@ from tracesieve.operators import classify, clusters, distance, embedding, metric
 from tracesieve.plans import reporting
 from tracesieve.plans.discovery import discover, novelty_table
 from tracesieve.plans.screening import Settings, screen
-from tracesieve.session import ship, shared_folder, work_path
+from tracesieve.session import ship, work_path
 from tracesieve.sinks.models import load_model, save_model
 from tracesieve.sinks.tables import export_rounds, export_run
 from tracesieve.sources.archives import ingest_archives

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracesieve.session import estimated_bytes, spread, written
+from tracesieve.session import spread, written
 
 KEY, VEC = "curve_id", "x"
 CELLS = 4 << 20  # point x anchor cells computed at once in a task
@@ -91,13 +91,13 @@ def power_distance(a: np.ndarray, b: np.ndarray, l: float) -> np.ndarray:
 def fetch(anchors: DataFrame | pa.Table, limits: Limits) -> pa.Table | None:
     """The anchor table in key order, or None when it is over the limits.
 
-    Unless the optimizer's estimate is below the byte limit anyway, one row is read first for
-    the width, so that no more rows are asked for than the byte limit allows.
+    One row is read first for the width, so that no more rows are asked for than the byte limit
+    allows, however well the table is compressed.
     """
     if isinstance(anchors, pa.Table):
         table, most = anchors, limits.rows
     else:
-        most = limits.rows if estimated_bytes(anchors) <= limits.bytes else most_rows(anchors, limits)
+        most = most_rows(anchors, limits)
         table = anchors.limit(most + 1).toArrow()
     if table.num_rows > most or table.nbytes > limits.bytes:
         return None

@@ -79,6 +79,8 @@ def _rows(batches):
         for path, start, count, first in zip(*[batch.column(c).to_pylist() for c in ("path", "start", "n", "first_id")]):
             with _open(path) as raw, zipfile.ZipFile(raw) as archive:
                 trace, label, flat, image = [_read_rows(archive, m, start, count) for m in MEMBERS]
+            if trace.ndim == 3 and trace.shape[2] != len(SAMPLE.fields):
+                raise ValueError(f"x_raw of {path} has {trace.shape[2]} channels, not {len(SAMPLE.fields)}")
             if trace.ndim == 3:
                 fields = [pa.array(np.ascontiguousarray(trace[:, :, i], dtype=np.float64).ravel()) for i in range(4)]
                 samples = pa.StructArray.from_arrays(fields, SAMPLE.names)

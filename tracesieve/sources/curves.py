@@ -47,7 +47,7 @@ def reject_invalid(
 def dataset_table(dataset: str, test: bool = False) -> str:
     name = dataset.lower()
     if name not in TABLES:
-        raise ValueError('dataset should be "experiment" or "simulation"')
+        raise ValueError(f"unknown dataset {dataset!r}: known are {', '.join(TABLES)}")
     if test and name not in TEST_TABLES:
         raise ValueError(f"{name} has no separate test table")
     return (TEST_TABLES if test else TABLES)[name]
@@ -63,9 +63,15 @@ def load_curves(
 ) -> DataFrame:
     """Curves of a dataset, by case-insensitive name, from parquet under ``path``.
 
-    Only ``columns`` are read (all by default); invalid rows are rejected and counted.
+    Only ``columns`` are read (all by default).  A column that the table lacks, or has in another type, is an
+    error; invalid rows are rejected and counted in ``observation``.
     """
     fields = [f for f in CURVES.fields if columns is None or f.name in columns]
     table = f"{path.rstrip('/')}/{dataset_table(dataset, test)}"
-    df = spark.read.schema(T.StructType(fields)).parquet(table)
+    df = spark.read.parquet(table)
+    stored = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    wrong = [f"{f.name} {f.dataType.simpleString()}, not {stored.get(f.name)}" for f in fields if stored.get(f.name) != f.dataType.simpleString()]
+    if wrong:
+        raise ValueError(f"{table} should have {'; '.join(wrong)}")
+    df = df.select(*[f.name for f in fields])
     return reject_invalid(df, observation, vector="x" if "x" in df.columns else None)
