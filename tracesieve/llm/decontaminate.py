@@ -19,6 +19,8 @@ RADIUS = 19
 BLOCKS = (13, 13, 13, 13, 12)
 #: The most anchors that are broadcast (about 40 bytes each); more are joined by a shuffle, with the same result.
 BROADCAST_ANCHORS = 1_000_000
+#: The most items whose multi-index is broadcast (1890 rows, about 0.3 MB, for each); that of more is joined by a shuffle.
+BROADCAST_ITEMS = 400
 
 
 def words_of(text: Column) -> Column:
@@ -113,7 +115,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     lookup = blocks.select("item", "n", "k", F.col("fp").alias("item_fp"), F.posexplode(F.array(*values)).alias("block", "values")).withColumn("value", F.explode("values")).drop("values")
     sought = windows.withColumn("blocks", F.array(*[_block("fp", b) for b in range(len(BLOCKS))])).select("*", F.posexplode("blocks").alias("block", "value")).drop("blocks")
     apart = F.expr("bit_count(fp ^ item_fp)")
-    near = sought.join(lookup, ["n", "k", "block", "value"]).where(apart <= radius).select("_row", "doc_id", "item", "start", "k", "words")
+    held = F.broadcast(lookup) if items.count() <= BROADCAST_ITEMS else lookup.hint("shuffle_merge")
+    near = sought.join(held, ["n", "k", "block", "value"]).where(apart <= radius).select("_row", "doc_id", "item", "start", "k", "words")
     texts = items.select("item", _numbered("words", "k").alias("item_bag"))
     found = near.join(texts, "item").withColumn("bag", _numbered("words", "k")).withColumn("same", F.size(F.array_intersect("bag", "item_bag")))
     found = found.withColumn("similarity", F.col("same") / (F.size("bag") + F.size("item_bag") - F.col("same")))
