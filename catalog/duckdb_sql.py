@@ -19,8 +19,8 @@ pool AS (SELECT *, floor(0.8 * nk)::BIGINT AS np FROM known WHERE rk <= floor(0.
 test AS (
   SELECT curve_id, y_raw, y, x FROM known WHERE rk > floor(0.8 * nk)
   UNION ALL SELECT curve_id, y_raw, y, x FROM curves WHERE y_raw = 3),
-screened AS (SELECT * FROM pool WHERE rk <= floor(0.25 * np)),
-rest AS (SELECT * FROM pool WHERE rk > floor(0.25 * np)),
+screened AS (SELECT * FROM pool WHERE rk <= least(400, floor(0.25 * np))),
+rest AS (SELECT * FROM pool WHERE rk > least(400, floor(0.25 * np))),
 parts AS (
   SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('1:' || curve_id), curve_id) <= floor(0.8 * count(*) OVER ())
                  THEN 'train' ELSE 'val' END AS part
