@@ -39,5 +39,9 @@ def test_archives_to_exports(spark, tmp_path, dataset):
     assert read("general/distance_pool_pool").count() == n_pool**2
     assert read("rounds/report").count() == 3 * len(rounds)
     assert read("rounds/layers").select("round").distinct().count() == len(run.discoveries)
+    assert {r["status"] for r in read("rounds/layer_status").collect()} == {d.status for d in run.discoveries.values()}
+    assert read("rounds/layer_confusion").select("round").distinct().count() == sum(d.confusion is not None for d in run.discoveries.values())
+    assert read("general/raw_pool").count() == n_pool and "x_raw" in read("general/raw_test").columns
+    assert read("general/rejected").agg({"n_rejected": "sum"}).first()[0] == 0
     assert read("charts/recall").where("series = 'screening'").count() == len(rounds) + 2
     assert isinstance(load_model(spark, str(out / "models/embedding_20")), Embedding)

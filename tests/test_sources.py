@@ -74,6 +74,24 @@ def test_load_by_name_and_reject(spark, tmp_path):
         load_curves(spark, str(tmp_path), "experiment", test=True)
 
 
+def test_load_refuses_another_schema(spark, tmp_path):
+    table = spark.createDataFrame([(1, 0, [1.0])], "curve_id long, label int, x array<double>")
+    table.write.parquet(str(tmp_path / "experiment"))
+    with pytest.raises(ValueError, match="y_raw int, not None"):
+        load_curves(spark, str(tmp_path), "experiment", columns=["curve_id", "y_raw", "x"])
+    table.withColumn("y_raw", F.lit("0")).write.parquet(str(tmp_path / "simulation_train"))
+    with pytest.raises(ValueError, match="y_raw int, not string"):
+        load_curves(spark, str(tmp_path), "simulation", columns=["curve_id", "y_raw", "x"])
+
+
+def test_ingest_refuses_other_channels(spark, tmp_path):
+    arrays = archive(tmp_path / "c.npz", 3)
+    arrays["x_raw"] = np.concatenate([arrays["x_raw"]] * 2, axis=2)
+    np.savez(tmp_path / "c.npz", **arrays)
+    with pytest.raises(Exception, match="channels, not 4"):
+        ingest_archives(spark, str(tmp_path / "c.npz"), "experiment").collect()
+
+
 def test_reject_without_vector(spark):
     df = spark.createDataFrame([(1, 0), (2, None)], "curve_id long, y_raw int")
     assert reject_invalid(df, vector=None).count() == 1

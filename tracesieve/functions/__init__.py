@@ -1 +1 @@
-"""Column expressions; all run inside Spark's generated code."""
+"""Column expressions for labels, images, kernels and geometry, and the same draws for rows on the driver."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,7 +16,7 @@ from tracesieve.plans.screening import Screening, Settings, screen
 from tracesieve.session import written
 from tracesieve.sinks.models import save_model
 from tracesieve.sinks.tables import export_rounds, export_run
-from tracesieve.sources.curves import load_curves
+from tracesieve.sources.curves import CURVES, TEST_TABLES, dataset_table, invalid, load_curves
 from tracesieve.sources.features import featurize
 
 
@@ -51,9 +52,30 @@ def run_case_study(
     run = screen(pool, test, settings)
     if export_path:
         export_case_study(run, pool, test, export_path, settings, export_distances)
+        export_raw(spark, path, dataset, pool, test, export_path)
     return run
 
 
+def export_raw(spark: SparkSession, path: str, dataset: str, pool: DataFrame, test: DataFrame, export_path: str) -> None:
+    """The stored arrays and images of pool and test, fetched by key from the curve tables, and how many rows were rejected.
+
+    The arrays are joined here once and are never carried through the rounds.
+    """
+    stored = [f.name for f in CURVES.fields if f.name not in ("x", "y_raw")]
+    own_test = dataset.lower() in TEST_TABLES
+    counts = []
+    for part, rows in (("pool", pool), ("test", test)):
+        table = f"{path.rstrip('/')}/{dataset_table(dataset, own_test and part == 'test')}"
+        whole = spark.read.parquet(table)
+        have = [c for c in stored if c in whole.columns]
+        whole.select(have).join(rows.select(KEY), KEY, "left_semi").write.mode("overwrite").parquet(f"{export_path.rstrip('/')}/general/raw_{part}")
+        if part == "pool" or own_test:
+            vector = VEC if VEC in whole.columns else None
+            n = whole.agg(F.count(F.lit(1)), F.count_if(invalid(vector=vector))).first()
+            counts.append((table, n[0], n[1]))
+    spark.createDataFrame(counts, "source string, n_read long, n_rejected long").write.mode("overwrite").parquet(f"{export_path.rstrip('/')}/general/rejected")
+
+
 def export_case_study(run: Screening, pool: DataFrame, test: DataFrame, path: str, settings: Settings, distances: bool = False) -> None:
     """Inputs, split, rounds, layers, models and figure data of a run as tables."""
     root, spark = path.rstrip("/"), pool.sparkSession
@@ -78,7 +100,14 @@ def export_case_study(run: Screening, pool: DataFrame, test: DataFrame, path: st
         for part in layers[1:]:
             merged = merged.unionByName(part, allowMissingColumns=True)
         rounds["layers"] = merged
-    export_rounds(rounds, f"{root}/rounds")
+    for name, kind in (("layer_confusion", "confusion"), ("half_planes", "half_planes")):
+        found = [getattr(d, kind).withColumn("round", F.lit(at[n])) for n, d in run.discoveries.items() if getattr(d, kind) is not None]
+        if found:
+            rounds[name] = reduce(DataFrame.unionByName, found)
+    if run.discoveries:
+        states = [(at[n], n, d.status) for n, d in run.discoveries.items()]
+        rounds["layer_status"] = spark.createDataFrame(states, "round long, n_screened long, status string")
+    export_rounds(rounds, f"{root}/rounds", flat=tuple(n for n in rounds if n not in ("screened", "coefficients", "layers")))
     for n, d in run.discoveries.items():
         if d.model is not None:
             save_model(spark, d.model, f"{root}/models/embedding_{n}")

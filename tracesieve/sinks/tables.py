@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+#: Files that the rows of one round may be spread over.
+ROUND_FILES = 4
 
 
 def export_run(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
@@ -14,11 +17,17 @@ def export_run(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
     return out
 
 
-def export_rounds(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
-    """Write per-round tables (each with a ``round`` column) partitioned by round."""
+def export_rounds(tables: dict[str, DataFrame], path: str, flat: tuple[str, ...] = ()) -> dict[str, str]:
+    """Write per-round tables (each with a ``round`` column) partitioned by round, at most ``ROUND_FILES`` files a round.
+
+    Tables named in ``flat`` have a few rows for each round and are written as they are.
+    """
     out = {}
     for name, df in tables.items():
         out[name] = f"{path.rstrip('/')}/{name}"
-        # rows of a round stay spread over tasks: each task writes its own file per round
-        df.write.mode("overwrite").partitionBy("round").parquet(out[name])
+        if name in flat:
+            df.write.mode("overwrite").parquet(out[name])
+            continue
+        salt = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(ROUND_FILES))
+        df.withColumn("_salt", salt).repartition("round", "_salt").drop("_salt").write.mode("overwrite").partitionBy("round").parquet(out[name])
     return out
