@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracesieve.session import ship
 
@@ -172,10 +171,9 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _read(docs: DataFrame, keep: bool = False) -> DataFrame:
+def _read(docs: DataFrame) -> DataFrame:
     stated = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * keep
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), stated.alias("stated"), *row)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), stated.alias("stated"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorisationMachine:
@@ -192,29 +190,41 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     return fit(joined(found), rows["quality"].to_numpy(np.float64))
 
 
-def score(docs: DataFrame, model: FactorisationMachine, keep: bool = False) -> DataFrame:
-    """Per row ``doc_id`` and ``score``, how likely label 1 is; ``keep`` adds all columns of the input as the struct ``row``.
+def _scorer(spark: SparkSession, model: FactorisationMachine) -> Callable[[pa.Array, pa.Array | None], np.ndarray]:
+    """Scores of texts and their stated lengths, for tasks: the model's size is fixed by its parameters (1.3 MB), so it is broadcast."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast((model.bias, model.weights, model.factors))
+
+    def scores(texts: pa.Array, stated: pa.Array | None) -> np.ndarray:
+        own = FactorisationMachine(*shared.value)
+        sizes = np.full(len(texts), np.nan) if stated is None else stated.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        return np.concatenate([np.zeros(0), *[own.scores(rows) for rows in sliced(texts, sizes)]])
+
+    return scores
+
+
+def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
+    """Per row ``doc_id`` and ``score``, how likely label 1 is.
 
     Only ``text`` and, where there is one, ``n_chars`` are inputs of a score; null and empty texts are scored as empty.
-    The model's size is fixed by its parameters (about 1.3 MB) whatever the input, so it is broadcast.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast((model.bias, model.weights, model.factors))
+    scores = _scorer(docs.sparkSession, model)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = FactorisationMachine(*shared.value)
         for batch in batches:
-            texts, stated = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            found = [own.scores(rows) for rows in sliced(texts, stated)]
-            scores = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *batch.columns[3:]], names=["doc_id", "score", "row"][: batch.num_columns - 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), batch.column(2)), pa.float64())], names=["doc_id", "score"])
 
-    read = _read(docs, keep)
-    schema = StructType([read.schema["doc_id"], StructField("score", DoubleType()), *read.schema.fields[3:]])
-    return read.mapInArrow(compute, schema)
+    return _read(docs).mapInArrow(compute, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``, with their columns as they are."""
-    return score(docs, train(docs, labels, sample), keep=True).where(F.col("score") >= threshold).select("row.*").select(docs.columns)
+    scores = _scorer(docs.sparkSession, train(docs, labels, sample))
+    text, stated = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = scores(batch.column(text), None if stated is None else batch.column(stated))
+            yield batch.filter(pa.array(found >= threshold))
+
+    return docs.mapInArrow(choose, docs.schema)

@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from tracesieve.session import ship
 
@@ -118,28 +117,26 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[{}]") -> DataFrame
     Overlapping spans are replaced together, by the kind of the first.  Rows without spans, null texts and all other columns are unchanged.
     """
     ship(docs.sparkSession)
+    at, sized = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text in batch.column(0).to_pylist():
+            texts, columns = batch.column(at).to_pylist(), list(batch.columns)
+            sizes = columns[sized].to_pylist() if sized is not None else [None] * len(texts)
+            for row, text in enumerate(texts):
                 base = base_spans(text or "")
                 spans = sorted(base + linked_spans(text or "", base, scope), key=lambda s: (s[0], s[2], s[1]))
                 if spans:
-                    out, at = [], 0
+                    out, done = [], 0
                     for a, b, k in spans:
-                        if a >= at:
-                            out += [text[at:a], mark.format(KINDS[k])]
-                        at = max(at, b)
-                    text = "".join(out) + text[at:]
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], names=["text", "row"])
-
-    read = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    hidden = read.mapInArrow(hide, StructType([StructField("text", StringType()), read.schema["row"]]))
-    kind = dict(docs.dtypes)
-    changed = ~F.col("text").eqNullSafe(F.col("row.text").cast("string"))
-    new = {"text": F.col("text")}
-    if "n_chars" in kind:
-        new["n_chars"] = F.when(changed, F.length("text")).otherwise(F.col("row.n_chars")).cast(kind["n_chars"])
-    return hidden.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+                        if a >= done:
+                            out += [text[done:a], mark.format(KINDS[k])]
+                        done = max(done, b)
+                    texts[row] = "".join(out) + text[done:]
+                    sizes[row] = len(texts[row])
+            columns[at] = pa.array(texts, columns[at].type)
+            if sized is not None:
+                columns[sized] = pa.array(sizes, columns[sized].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(hide, docs.schema)

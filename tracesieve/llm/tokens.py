@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 #: Vocabulary file of ``public_tokenizers``; every function takes another path.
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and parts of words, kept by one worker process; beyond it the memory is emptied and refilled.  It changes no result.
-MEMORY = 800_000
+MEMORY = 250_000
 #: Bytes of text encoded at a time.
-SLICE = 8 << 20
+SLICE = 6 << 20
 
 # Letters and numbers below U+0100 after lower-casing, and the pre-tokenizer's contractions.
 _LETTER = "a-zªµºß-öø-ÿ"
