@@ -59,8 +59,9 @@ def best_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     if best is not None:
         leaves = leaves.where(F.col("branch") <= best)
     steps = leaves.select("tree", F.col("node").alias("leaf"), "branch", "depth", "node", F.lit(0).cast("long").alias("down"))
-    for k, table in enumerate(tables):
-        # Each message stays, and its ancestor 2^k steps up joins it: after k tables a path has its last 2^k messages.
+    for k, table in reversed(list(enumerate(tables))):
+        # Each message stays, and its ancestor 2^k steps up joins it.  Far ancestors come first, so that a path's rows become
+        # many only in the last joins: all joins together make about twice the rows of the result.
         both = F.array(F.struct("node", "down"), F.struct(F.col("up").alias("node"), (F.col("down") + (1 << k)).alias("down")))
         joined = steps.join(table, ["tree", "node"], "left")
         steps = joined.select("tree", "leaf", "branch", "depth", F.explode(F.filter(both, lambda s: s["node"].isNotNull())).alias("s")).select("tree", "leaf", "branch", "depth", "s.*")
