@@ -38,10 +38,20 @@ def normalize_channels(px: Column) -> Column:
     return F.transform(px, lambda p, i: (p / 255.0 - F.get(means, i % 3)) / F.get(devs, i % 3))
 
 
+def tensors(data: list[bytes], heights: np.ndarray, widths: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Packed grey bytes to the float32 network input of shape (n, h, w, 3); images of one size are handled together."""
+    out = np.empty((len(data), *size, len(MEANS)), np.float32)
+    shapes = np.stack([heights, widths], axis=1)
+    for height, width in np.unique(shapes, axis=0):
+        own = np.flatnonzero((heights == height) & (widths == width))
+        grey = 255 - np.frombuffer(b"".join([data[i] for i in own]), dtype=np.uint8).reshape(len(own), height, width).astype(np.float32)
+        rows = ((np.arange(size[0]) + 0.5) * height / size[0]).astype(np.int64)
+        cols = ((np.arange(size[1]) + 0.5) * width / size[1]).astype(np.int64)
+        picked = grey[:, rows][:, :, cols, None] / np.float32(255.0)
+        out[own] = (picked - np.float32(MEANS)) / np.float32(DEVIATIONS)
+    return out
+
+
 def tensor(data: bytes, height: int, width: int, size: tuple[int, int]) -> np.ndarray:
-    """Packed grey bytes to the float32 network input of shape (h, w, 3)."""
-    grey = 255 - np.frombuffer(data, dtype=np.uint8).reshape(height, width).astype(np.float32)
-    rows = ((np.arange(size[0]) + 0.5) * height / size[0]).astype(np.int64)
-    cols = ((np.arange(size[1]) + 0.5) * width / size[1]).astype(np.int64)
-    picked = grey[rows][:, cols, None] / np.float32(255.0)
-    return ((picked - np.float32(MEANS)) / np.float32(DEVIATIONS)).astype(np.float32)
+    """The network input of one image."""
+    return tensors([data], np.array([height]), np.array([width]), size)[0]

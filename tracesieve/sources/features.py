@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tracesieve.functions.images import tensor
+from tracesieve.functions.images import tensors
 
 
 def featurize(
@@ -29,8 +29,7 @@ def featurize(
         model = make_model()
 
         def predict(data, height, width):
-            sizes = zip(np.ravel(data), np.ravel(height), np.ravel(width))
-            batch = np.stack([tensor(bytes(b), int(h), int(w), size) for b, h, w in sizes])
+            batch = tensors([bytes(b) for b in np.ravel(data)], np.ravel(height), np.ravel(width), size)
             return np.asarray(model(batch), dtype=np.float32)
 
         return predict
