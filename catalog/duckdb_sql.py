@@ -259,6 +259,25 @@ SQL: dict[str, str] = {
           FROM (SELECT curve_id, x FROM rest UNION ALL SELECT curve_id, x FROM test) p, screened s GROUP BY p.curve_id)
         SELECT curve_id, {r6('1 / (1 + exp(z))')} AS p_bad, {r6('1 / (1 + exp(-z))')} AS p_good, (z > 0)::INTEGER AS pred FROM z""",
     "nearest_centroid": "SELECT curve_id, cluster FROM clustered",
+    # The best of all splits by a line: two-means parts are always divided by one, which can be turned until it meets two points.
+    "kmeans_two": f"""
+        , pts AS (SELECT curve_id, e0, e1 FROM plane WHERE pred = 1),
+        sides AS (
+          SELECT a.curve_id AS i, b.curve_id AS j, any_value(a.e0) AS ax, any_value(a.e1) AS ay, any_value(b.e0) AS bx, any_value(b.e1) AS by1,
+                 count(*) FILTER (l) AS n, coalesce(sum(p.e0) FILTER (l), 0) AS sx, coalesce(sum(p.e1) FILTER (l), 0) AS sy
+          FROM pts a JOIN pts b ON a.curve_id < b.curve_id JOIN pts p ON p.curve_id <> a.curve_id AND p.curve_id <> b.curve_id,
+               LATERAL (SELECT (b.e0 - a.e0) * (p.e1 - a.e1) - (b.e1 - a.e1) * (p.e0 - a.e0) > 0 AS l)
+          GROUP BY 1, 2),
+        splits AS (
+          SELECT n + u + w AS n0, sx + u * ax + w * bx AS x0, sy + u * ay + w * by1 AS y0
+          FROM sides, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS ends(u, w)),
+        whole AS (SELECT count(*) AS n, sum(e0) AS sx, sum(e1) AS sy, sum(e0 * e0 + e1 * e1) AS q FROM pts),
+        best AS (
+          SELECT x0 / n0 AS x0, y0 / n0 AS y0, (sx - x0) / (n - n0) AS x1, (sy - y0) / (n - n0) AS y1,
+                 q - (x0 * x0 + y0 * y0) / n0 - ((sx - x0) * (sx - x0) + (sy - y0) * (sy - y0)) / (n - n0) AS cost
+          FROM splits, whole WHERE n0 BETWEEN 1 AND n - 1 ORDER BY cost LIMIT 1),
+        centers2 AS (SELECT x0 AS e0, y0 AS e1, cost FROM best UNION ALL SELECT x1, y1, cost FROM best)
+        SELECT (row_number() OVER (ORDER BY e0, e1) - 1)::INTEGER AS cluster, {r6('e0')} AS e0, {r6('e1')} AS e1, {r6('cost')} AS cost FROM centers2""",
     "posterior_variance_class_means": f"""
         , means AS (
           SELECT y, list(m ORDER BY i) AS x FROM (
