@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 VIEWS = """
-WITH base AS (
+WITH RECURSIVE base AS (
   SELECT vec_id AS curve_id, embedding,
          CASE WHEN label < 6 THEN 0 WHEN label < 8 THEN 1 WHEN label = 8 THEN 2 ELSE 3 END AS y_raw
   FROM embeddings),
@@ -259,6 +259,22 @@ SQL: dict[str, str] = {
           FROM (SELECT curve_id, x FROM rest UNION ALL SELECT curve_id, x FROM test) p, screened s GROUP BY p.curve_id)
         SELECT curve_id, {r6('1 / (1 + exp(z))')} AS p_bad, {r6('1 / (1 + exp(-z))')} AS p_good, (z > 0)::INTEGER AS pred FROM z""",
     "nearest_centroid": "SELECT curve_id, cluster FROM clustered",
+    # Elimination of one anchor a step from the covariance of all anchors and test rows: what is left of a test row's own variance.
+    "posterior_variance": f"""
+        , anchors AS (SELECT x, row_number() OVER (ORDER BY curve_id)::INTEGER AS pos FROM pool),
+        these AS (
+          SELECT pos, NULL::BIGINT AS curve_id, x FROM anchors
+          UNION ALL SELECT 1000000, curve_id, x FROM test),
+        covariance AS (
+          SELECT t.pos, t.curve_id, list(exp(-{dist('t', 'a')} / 8.0::DOUBLE) + CASE WHEN t.pos = a.pos THEN 1e-8::DOUBLE ELSE 0 END ORDER BY a.pos) AS r
+          FROM these t, anchors a GROUP BY t.pos, t.curve_id),
+        steps AS (
+          SELECT 0 AS k, pos, curve_id, r, 1.0::DOUBLE AS s FROM covariance
+          UNION ALL
+          SELECT e.k + 1, e.pos, e.curve_id,
+                 list_transform(list_zip(e.r[2:], p.r[2:]), lambda z: z[1] - e.r[1] / p.r[1] * z[2]), e.s - e.r[1] * e.r[1] / p.r[1]
+          FROM steps e JOIN steps p ON p.pos = e.k + 1 AND e.pos > p.pos)
+        SELECT curve_id, {r6('greatest(s, 0.0)')} AS variance FROM steps WHERE len(r) = 0 AND curve_id IS NOT NULL""",
     # The best of all splits by a line: two-means parts are always divided by one, which can be turned until it meets two points.
     "kmeans_two": f"""
         , pts AS (SELECT curve_id, e0, e1 FROM plane WHERE pred = 1),
