@@ -102,8 +102,14 @@ def parse(source: str | None) -> Page:
     root = page.add(-1, "root", ["root"], 0)
     # The open elements: tag, node, label, whether inside a link, and what their names tell those directly inside.
     stack: list[tuple[str, int, int, bool, list[str]]] = [("", root, 0, False, [])]
+    is_open: dict[str, int] = {}  # how many of each tag, so that deep pages are not searched for what is not open
     at, broken = 0, True
 
+    def close(i: int) -> None:
+        for tag, *_ in stack[i:]:
+            is_open[tag] -= 1
+        del stack[i:]
+
     def text(raw: str) -> None:
         nonlocal broken
         if not raw:
@@ -126,14 +132,14 @@ def parse(source: str | None) -> Page:
         at = m.end()
         if m["tag"]:
             tag = m["tag"].lower()
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and is_open.get("p"):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == "p":
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in ("button", "table", "td", "th", "caption", "object", "template"):
                         break
-            if tag in IMPLIED:
+            if tag in IMPLIED and any(is_open.get(t) for t in IMPLIED[tag][0]):
                 closes, bounds = IMPLIED[tag]
                 lowest = None
                 for i in range(len(stack) - 1, 0, -1):
@@ -142,7 +148,7 @@ def parse(source: str | None) -> Page:
                     if stack[i][0] in closes:
                         lowest = i
                 if lowest:
-                    del stack[lowest:]
+                    close(lowest)
             broken |= tag not in INLINE
             over, parent, inherited, linked, names = stack[-1]
             features, label = _element_features(tag, m["rest"], over)
@@ -161,12 +167,13 @@ def parse(source: str | None) -> Page:
                 at = end.start() if end else len(source)
                 continue
             stack.append((tag, node, label, linked or tag == "a", inside))
+            is_open[tag] = is_open.get(tag, 0) + 1
         elif m["end"]:
             tag = m["end"].lower()
             broken |= tag not in INLINE
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if is_open.get(tag) else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag in INLINE and stack[i][0] in CLOSES_P or stack[i][0] == "table" != tag:
                     break  # an inline end tag does not close blocks around it
