@@ -29,7 +29,9 @@ def featurize(
         model = make_model()
 
         def predict(data, height, width):
-            batch = tensors([bytes(b) for b in np.ravel(data)], np.ravel(height), np.ravel(width), size)
+            # Columns of one name arrive side by side: the first is the height, the last the width.
+            heights, widths = height.reshape(len(data), -1)[:, 0], width.reshape(len(data), -1)[:, -1]
+            batch = tensors([bytes(b) for b in np.ravel(data)], heights, widths, size)
             return np.asarray(model(batch), dtype=np.float32)
 
         return predict
