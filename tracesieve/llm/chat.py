@@ -32,13 +32,16 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """
     most = nodes.count()
     now = written(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "chat-jumps")
-    tables = []
-    while not now.where("up is not null").isEmpty() and 1 << len(tables) < 2 * most:
-        tables.append(now.where("up is not null").select("tree", "node", "up"))
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        joined = now.join(above, ["tree", "up"], "left")
-        now = written(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), "chat-jumps")
-    return tables, now.where("up is null").select("tree", "node", "depth", "total")
+    tables, ended = [], now.where("up is null")
+    now = now.where("up is not null")
+    while not now.isEmpty() and 1 << len(tables) < 2 * most:
+        # Nodes that have come to their root are done; the others add what the node at the end of their jump has so far.
+        tables.append(now.select("tree", "node", "up"))
+        above = ended.unionByName(now).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        joined = now.join(above, ["tree", "up"])
+        made = written(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")), "chat-jumps")
+        ended, now = ended.unionByName(made.where("up is null")), made.where("up is not null")
+    return tables, ended.select("tree", "node", "depth", "total")
 
 
 def best_paths(messages: DataFrame, best: int | None = None) -> DataFrame:

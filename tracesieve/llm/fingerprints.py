@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tracesieve.llm.batches import text_batches
 from tracesieve.llm.components import components
-from tracesieve.session import ship, written
+from tracesieve.session import written
 
 BITS = 64
 SEED = 42
@@ -45,7 +46,7 @@ def fingerprints(docs: DataFrame, shingle: int, seed: int = SEED, keep: bool = F
 
     ``keep`` adds all columns of the input as the struct ``row``.
     """
-    ship(docs.sparkSession)
+    text_batches(docs)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

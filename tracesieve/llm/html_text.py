@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tracesieve.llm.batches import text_batches
 from tracesieve.llm.pages import BUCKETS, EDGES, Page, labelled_pages, parse
-from tracesieve.session import ship
 
 #: Labelled pages that the model is trained on: the bound of the fit.
 TRAINING = 800
@@ -127,7 +127,7 @@ def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     Whole pages are read in one pass without a shuffle; a null page is empty.  Null keys and repeated rows stay, other columns are not
     read.  The model's size is fixed by its parameters (40 KB) whatever the input.
     """
-    ship(pages.sparkSession)
+    text_batches(pages)
     model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tracesieve.llm.batches import text_batches
 from tracesieve.llm.tokens import encoder, vocabulary_path
-from tracesieve.session import ship, written
+from tracesieve.session import written
 
 WINDOW = 4096
 END_ID = 2
@@ -75,7 +76,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
     A null or empty text is its end id alone.  Only ``doc_id`` and ``text`` are read; a repeated row is a document
     of its own and a null ``doc_id`` stays null.  ``keep_ids`` adds the ids as ``ids`` (little-endian unsigned 32-bit).
     """
-    ship(docs.sparkSession)
+    text_batches(docs)
     path = vocabulary_path(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

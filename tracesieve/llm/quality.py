@@ -9,9 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from tracesieve.llm.batches import text_batches
 
-from tracesieve.session import ship
 
 #: Labelled rows that a model is fitted on at most, the first by a hash of their key: the bound of the fit.
 SAMPLE = 6000
@@ -190,10 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     return fit(joined(found), rows["quality"].to_numpy(np.float64))
 
 
-def _scorer(spark: SparkSession, model: FactorisationMachine) -> Callable[[pa.Array, pa.Array | None], np.ndarray]:
+def _scorer(docs: DataFrame, model: FactorisationMachine) -> Callable[[pa.Array, pa.Array | None], np.ndarray]:
     """Scores of texts and their stated lengths, for tasks: the model's size is fixed by its parameters (1.3 MB), so it is broadcast."""
-    ship(spark)
-    shared = spark.sparkContext.broadcast((model.bias, model.weights, model.factors))
+    text_batches(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.factors))
 
     def scores(texts: pa.Array, stated: pa.Array | None) -> np.ndarray:
         own = FactorisationMachine(*shared.value)
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
     Only ``text`` and, where there is one, ``n_chars`` are inputs of a score; null and empty texts are scored as empty.
     """
-    scores = _scorer(docs.sparkSession, model)
+    scores = _scorer(docs, model)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +220,7 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``, with their columns as they are."""
-    scores = _scorer(docs.sparkSession, train(docs, labels, sample))
+    scores = _scorer(docs, train(docs, labels, sample))
     text, stated = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

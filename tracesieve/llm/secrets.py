@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracesieve.session import ship
+from tracesieve.llm.batches import text_batches
+
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
@@ -91,7 +92,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     Whole texts are scanned in one pass without a shuffle; a null or empty text has no spans.  Repeated rows and null keys stay, and
     only ``doc_id`` and ``text`` are read.
     """
-    ship(docs.sparkSession)
+    text_batches(docs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +117,7 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[{}]") -> DataFrame
 
     Overlapping spans are replaced together, by the kind of the first.  Rows without spans, null texts and all other columns are unchanged.
     """
-    ship(docs.sparkSession)
+    text_batches(docs)
     at, sized = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
