@@ -152,6 +152,43 @@ def test_contaminated(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in rows if d not in bad)
 
 
+def slow_best(docs, items):
+    """The best of all windows of each pair, and the first such window."""
+    for d, t in docs:
+        for i, x in items:
+            words, want = t.split(), shingles(x.split())
+            n, found = sum(want.values()) + 4, {}
+            for s in range(max(1, len(words) - n + 1)):
+                own = shingles(words[s : s + n])
+                same = sum((own & want).values())
+                found[s] = same / (sum(own.values()) + sum(want.values()) - same)
+            s = max(found, key=lambda s: (found[s], -s))
+            if found[s] >= 0.8:
+                yield d, i, round(found[s], 9), s
+
+
+def test_reordered_passages(spark):
+    rng = np.random.default_rng(11)
+    other = lambda n: [f"x{i}" for i in rng.integers(0, 10**6, n)]
+    docs, bench = [], []
+    for i, (n, cut) in enumerate([(40, 12), (50, 20), (59, 25), (100, 45), (80, 40)]):
+        item = [f"w{i}n{j}" for j in range(n)]
+        bench.append((i, " ".join(item)))
+        swapped = item[cut:] + item[:cut]
+        docs += [(10 * i, other(150) + swapped + other(150)), (10 * i + 1, swapped), (10 * i + 2, other(n) + swapped), (10 * i + 3, swapped + other(3) + swapped + other(9))]
+        docs += [(10 * i + 4, item[: n // 2] + other(n)), (10 * i + 5, other(7) + item * 3), (10 * i + 6, item[4:])]
+    bench.append((90, "p q r s t " * 12 + "u v"))  # shingles that repeat
+    docs += [(900, other(30) + ["p", "q", "r", "s", "t"] * 30), (901, ["p", "q", "r", "s", "t"] * 9 + other(20))]
+    rows = [(d, " ".join(words)) for d, words in docs]
+    want = set(slow_best(rows, bench))
+    assert {(d, i) for d, i, *_ in want} >= {(10 * i, i) for i in range(5)} | {(900, 90)}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(bench, "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"], round(r["similarity"], 9), r["start_word"]) for r in clean.contaminated(table, benchmark).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r["doc_id"] for r in clean.decontaminate(table, benchmark).collect()} == {d for d, _ in rows} - {d for d, *_ in want}
+
+
 def test_real_documents_and_empty_sides(spark, documents, rows):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     short = [(k, t) for k, t in rows if len(t or "") < 4000]

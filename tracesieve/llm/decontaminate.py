@@ -1,12 +1,16 @@
 """Benchmark decontamination: SimHash windows of an item's size, found by a multi-index over Hamming blocks and then compared exactly.
 
 All column expressions.  A window whose similarity to an item of ``N`` shingles is at least ``s`` has ``ceil(s N)`` of them, so it has
-one of any ``N - ceil(s N) + 1``; the rarest are the item's anchors.  Windows are laid only where an anchor stands, in the place that the
-anchor gives the item, which spares the fingerprints of all other windows and loses none that aligns with the item.
+one of any ``N - ceil(s N) + 1``; the rarest are the item's anchors.  All shingles of an item are looked up around its anchors only, and a
+window is laid at every start whose words hold as many of them as the similarity needs, in whatever order they stand there.  Windows
+without an anchor or with fewer shingles cannot be similar enough, so this spares their fingerprints and loses none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracesieve.session import written
@@ -28,6 +32,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _of_words(each: str, made: Callable[[Column, Column], Column]) -> Column:
+    """``made`` of the words of ``text`` and every element of ``each``; the text is split once."""
+    return F.flatten(F.transform(F.array(words_of(F.col("text"))), lambda words: F.transform(each, lambda x: made(words, x))))
+
+
 def _shingles(words: str, k: str) -> str:
     """SQL for the shingles of ``k`` words; fewer words are one shingle."""
     return f"transform(sequence(1, greatest(1, size({words}) - {k} + 1)), i -> slice({words}, i, {k}))"
@@ -40,8 +49,9 @@ def _simhash(hashes: str) -> Column:
 
 
 def _numbered(words: str, k: str) -> Column:
-    """Shingles, each with how many equal ones stand before it, so that sets of them are multisets of shingles."""
-    return F.expr(f"transform({_shingles(words, k)}, (s, n) -> struct(s as s, size(filter(sequence(0, n), j -> j > 0 and slice({words}, greatest(j, 1), {k}) = s)) as n))")
+    """Sorted shingles, each followed by how many equal ones stand before it, so that sets of them are multisets of shingles.  Words have no spaces."""
+    ordered = f"array_sort(transform({_shingles(words, k)}, s -> array_join(s, ' ')))"
+    return F.expr(f"flatten(transform(array({ordered}), z -> transform(z, (s, n) -> concat(s, ' ', n + 1 - array_position(z, s)))))")
 
 
 def _prints(rows: DataFrame) -> DataFrame:
@@ -66,14 +76,34 @@ def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
 
 
 def _anchors(items: DataFrame, similarity: float) -> DataFrame:
-    """Each item's rarest shingles, as many as no window that is similar enough can lack: ``h, k, at, n``."""
+    """Each item's rarest shingles, as many as no window that is similar enough can lack: ``h, k, item, n``."""
     spread = items.select("item", "n", "k", F.posexplode(F.expr(f"transform({_shingles('words', 'k')}, s -> xxhash64(s))")).alias("at", "h"))
     common = spread.groupBy("h", "k").agg(F.count_distinct("item").alias("df"))
     ranked = spread.join(common, ["h", "k"]).groupBy("item", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "at", "h"))).alias("all"))
     size = F.col("n") - F.col("k") + 1
     most = size - F.ceil(size * F.lit(similarity) - 1e-9) + 1
-    kept = ranked.select("n", "k", F.explode(F.slice("all", F.lit(1), most.cast("int"))).alias("a"))
-    return kept.select(F.col("a.h").alias("h"), "k", F.col("a.at").alias("at"), "n").distinct()
+    kept = ranked.select("item", "n", "k", F.explode(F.slice("all", F.lit(1), most.cast("int"))).alias("a"))
+    return kept.select(F.col("a.h").alias("h"), "k", "item", "n").distinct()
+
+
+def _around(read: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """Cells of ``n`` positions of a text in which a window that holds an anchor of ``k`` words can have shingles: ``_row, item, n, k, cell``."""
+    spread = read.where(F.size("words") > 0).select("_row", F.size("words").alias("long"), F.posexplode(F.expr(f"transform({_shingles('words', str(k))}, s -> xxhash64(s))")).alias("pos", "h"))
+    cells = F.expr("sequence(cast(greatest(0, pos - n + k) div n as int), cast(greatest(0, least(pos + n, long) - k) div n as int))")
+    return spread.join(index.where(F.col("k") == k), "h").select("_row", "item", "n", "k", F.explode(cells).alias("cell"))
+
+
+def _starts(found: DataFrame, similarity: float) -> DataFrame:
+    """Starts of all windows that hold enough of the item's shingles, which stand at ``at`` (ascending): ``_row, n, k, start``.
+
+    Windows of ``N`` and ``M`` shingles of similarity ``s`` share ``s (N + M) / (1 + s)`` at least.  Of the starts whose first shingle of the
+    item is the one at ``at[i]``, those reach the ``need`` shingles that end no earlier than ``at[i + need - 1]``.
+    """
+    sized = found.withColumn("need", F.ceil((F.col("n") + F.least("long", "n") - 2 * F.col("k") + 2) * F.lit(similarity / (1 + similarity)) - 1e-9).cast("int")).where("need > 0 and size(at) >= need")
+    low = "greatest(0, at[i + need - 1] - n + k, if(i > 0, at[greatest(i, 1) - 1] + 1, 0))"
+    ranges = f"transform(sequence(0, greatest(0, size(at) - need)), i -> struct({low} as low, least(at[i], greatest(0, long - n)) as high))"
+    starts = f"flatten(transform(filter({ranges}, r -> r.low <= r.high), r -> sequence(r.low, r.high)))"
+    return sized.select("_row", "n", "k", F.explode(F.expr(starts)).alias("start"))
 
 
 def row_key() -> Column:
@@ -93,20 +123,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     anchors = written(_anchors(items, similarity), "benchmark-anchors")
     ks = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most SHINGLE values
     n_anchors = anchors.count()
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"), row_key().alias("_row"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), row_key().alias("_row"))
+    read = texts.select("_row", words_of(F.col("text")).alias("words"))
     index = F.broadcast(anchors) if n_anchors <= BROADCAST_ANCHORS else anchors
-    starts = None
-    for k in ks:
-        spread = read.where(F.size("words") > 0).select("_row", F.size("words").alias("long"), F.posexplode(F.expr(f"transform({_shingles('words', str(k))}, s -> xxhash64(s))")).alias("pos", "h"))
-        own = index.where(F.col("k") == k)
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("long") - F.col("n")))
-        hits = spread.join(own, "h").select("_row", "n", "k", start.alias("start"))
-        starts = hits if starts is None else starts.unionByName(hits)
-    if starts is None:
+    if not ks:
         return docs.sparkSession.createDataFrame([], "_row long, doc_id long, item_id long, similarity double, start_word long")
-    places = written(starts.groupBy("_row").agg(F.collect_set(F.struct("n", "k", "start")).alias("places")), "benchmark-places")
-    cut = F.transform("places", lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["start"].alias("start"), F.slice("words", p["start"] + 1, p["n"]).alias("words")))
-    laid = read.join(places, "_row").select("_row", "doc_id", F.explode(cut).alias("w")).select("_row", "doc_id", "w.*")
+    around = reduce(DataFrame.unionByName, [_around(read, index, k) for k in ks])
+    cells = written(around.groupBy("_row").agg(F.collect_set(F.struct("item", "n", "k", "cell")).alias("cells")), "benchmark-cells")
+    # All shingles of an item in the cells around its anchors.
+    part = _of_words("cells", lambda words, c: F.struct(F.size(words).alias("long"), c["item"].alias("item"), c["n"].alias("n"), c["k"].alias("k"), (c["cell"] * c["n"]).alias("from"), F.slice(words, c["cell"] * c["n"] + 1, c["n"] + c["k"] - 1).alias("words")))
+    parts = texts.join(cells, "_row").select("_row", F.explode(part).alias("c")).select("_row", "c.*")
+    hashed = F.posexplode(F.expr(f"transform({_shingles('words', 'k')}, s -> xxhash64(s))"))
+    placed = parts.select("_row", "long", "item", "n", "k", "from", hashed.alias("pos", "h")).withColumn("pos", F.col("from") + F.col("pos"))
+    own = written(items.select("item", F.explode(F.array_distinct(F.expr(f"transform({_shingles('words', 'k')}, s -> xxhash64(s))"))).alias("h")), "benchmark-shingles")
+    own = F.broadcast(own) if own.count() <= BROADCAST_ANCHORS else own
+    hits = placed.join(own, ["item", "h"]).groupBy("_row", "item", "long", "n", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    places = written(_starts(hits, similarity).groupBy("_row").agg(F.collect_set(F.struct("n", "k", "start")).alias("places")), "benchmark-places")
+    cut = _of_words("places", lambda words, p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["start"].alias("start"), F.slice(words, p["start"] + 1, p["n"]).alias("words")))
+    laid = texts.join(places, "_row").select("_row", "doc_id", F.explode(cut).alias("w")).select("_row", "doc_id", "w.*")
     windows = _prints(laid)
     # The multi-index: a window's blocks against every value within reach of an item's block.
     reach = radius // len(BLOCKS)
@@ -116,9 +150,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     sought = windows.withColumn("blocks", F.array(*[_block("fp", b) for b in range(len(BLOCKS))])).select("*", F.posexplode("blocks").alias("block", "value")).drop("blocks")
     apart = F.expr("bit_count(fp ^ item_fp)")
     held = F.broadcast(lookup) if items.count() <= BROADCAST_ITEMS else lookup.hint("shuffle_merge")
-    near = sought.join(held, ["n", "k", "block", "value"]).where(apart <= radius).select("_row", "doc_id", "item", "start", "k", "words")
-    texts = items.select("item", _numbered("words", "k").alias("item_bag"))
-    found = near.join(texts, "item").withColumn("bag", _numbered("words", "k")).withColumn("same", F.size(F.array_intersect("bag", "item_bag")))
+    first = F.coalesce(*[F.when(F.bit_count(_block("fp", b).bitwiseXOR(_block("item_fp", b))) <= reach, b) for b in range(len(BLOCKS))])
+    near = sought.join(held, ["n", "k", "block", "value"]).where((apart <= radius) & (F.col("block") == first)).select("_row", "doc_id", "item", "start", "k", "words")
+    bags = items.select("item", _numbered("words", "k").alias("item_bag"))
+    found = near.join(bags, "item").withColumn("bag", _numbered("words", "k")).withColumn("same", F.size(F.array_intersect("bag", "item_bag")))
     found = found.withColumn("similarity", F.col("same") / (F.size("bag") + F.size("item_bag") - F.col("same")))
     best = found.where(F.col("similarity") >= similarity).groupBy("_row", "item").agg(F.first("doc_id").alias("doc_id"), F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("_row", "doc_id", F.col("item").alias("item_id"), F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("start_word"))
