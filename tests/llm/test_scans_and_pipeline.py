@@ -55,6 +55,14 @@ def test_weak_parts_need_their_complement(text, kinds):
     assert [secrets.KINDS[k] for *_, k in sorted(found)] == kinds
 
 
+@pytest.mark.parametrize("name, key", [(64, 128), (65, 129), (300, 152), (20, 700)])
+def test_long_weak_parts(spark, name, key):
+    name, key = "n" * name, ("aB3" * key)[:key]
+    text = f"client_id: {name} then {key}== end"
+    assert secrets.linked_spans(text, secrets.base_spans(text)) == [(11, 11 + len(name), 3), (17 + len(name), 19 + len(name) + len(key), 4)]
+    assert secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"] == "client_id: [identifier] then [key] end"
+
+
 def test_near_is_an_interval_join():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -25,8 +25,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
 # Weak parts, which tell nothing on their own: a client's or user's name, a random-looking word, the place that they open.
-_IDENTIFIER = re.compile(r"""\b(?:client|account|user|access|key)[_-]?(?:id|name)?["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{6,64})""", re.IGNORECASE | re.ASCII)
-_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z/+_=-]*[0-9])(?=[0-9A-Z/+_=-]*[a-z])(?=[0-9a-z/+_=-]*[A-Z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/=_-])")
+_IDENTIFIER = re.compile(r"""\b(?:client|account|user|access|key)[_-]?(?:id|name)?["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{6,})""", re.IGNORECASE | re.ASCII)
+_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z/+_=-]*[0-9])(?=[0-9A-Z/+_=-]*[a-z])(?=[0-9a-z/+_=-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(r"""\b(?:https?|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s"'<>]{4,}|\b(?:endpoint|host)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::\d+)?)""", re.IGNORECASE | re.ASCII)
 _SIGN = re.compile(r"[:=]")
 
