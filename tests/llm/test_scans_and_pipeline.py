@@ -63,6 +63,24 @@ def test_long_weak_parts(spark, name, key):
     assert secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"] == "client_id: [identifier] then [key] end"
 
 
+HEX = "0123456789abcdef"
+
+
+@pytest.mark.parametrize(
+    "text, kinds, hidden",
+    [
+        ("user_id: someone at https://host/v1?token=abcdefghijkl1234 end", ["identifier", "endpoint"], "user_id: [identifier] at [endpoint] end"),
+        (f"https://host/v1?token=abcdefghijkl1234 and {KEY}", ["key"], "https://host/v1?[assign] and [key]"),
+        (f"client_id: svc-reader Zx{HEX}Zy9{KEY} end", ["identifier", "key"], "client_id: [identifier] [key] end"),
+        (f"secret={KEY} user_id: someone", ["identifier"], "[assign] user_id: [identifier]"),
+    ],
+)
+def test_weak_parts_that_reach_beyond_base_spans(spark, text, kinds, hidden):
+    found = secrets.linked_spans(text, secrets.base_spans(text))
+    assert [secrets.KINDS[k] for *_, k in sorted(found)] == kinds
+    assert secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"] == hidden
+
+
 def test_near_is_an_interval_join():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,21 +59,27 @@ class Near:
         i = bisect_left(self.starts, end + self.scope + 1)
         return bool(i) and self.reach[i - 1] >= start - self.scope
 
+    def around(self, start: int, end: int) -> bool:
+        """Whether one of the spans contains the whole interval."""
+        i = bisect_right(self.starts, start)
+        return bool(i) and self.reach[i - 1] >= end
+
 
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     """Weak parts of credentials whose complementary parts co-occur in their scope.
 
     Identifiers (and base ``access`` spans), keys (and base ``assign`` and ``hex`` spans) and endpoints are joined by
     interval: an identifier is reported if a key is in its scope, a key if an identifier or an endpoint is, an endpoint if both an
-    identifier and a key are.  A weak part inside a span of the base is that span, and is not reported again.
+    identifier and a key are.  A weak part that lies wholly inside one span of the base is that span, and is not reported again; one that
+    reaches beyond it is a part of its own, as is the span.
     """
     if not _SIGN.search(text) and not any(k == 1 for *_, k in base):
         return []  # without an assignment, an address or an access span there is nothing to complement a key
     kinds = [[], [], [], [(m.start(1), m.end(1), 3) for m in _IDENTIFIER.finditer(text)], [(m.start(), m.end(), 4) for m in _KEY.finditer(text)], [(m.start(), m.end(), 5) for m in _ENDPOINT.finditer(text)]]
     for s in base:
         kinds[s[2]].append(s)
-    inside = Near(base, -1)
-    weak = [[s for s in kinds[k] if not inside.any(s[0], s[1])] for k in (3, 4, 5)]
+    held = Near(base, 0)
+    weak = [[s for s in kinds[k] if not held.around(s[0], s[1])] for k in (3, 4, 5)]
     identifiers, keys, endpoints = (Near(x, scope) for x in (weak[0] + kinds[1], weak[1] + kinds[0] + kinds[2], weak[2]))
     found = [s for s in weak[0] if keys.any(*s[:2])]
     found += [s for s in weak[1] if identifiers.any(*s[:2]) or endpoints.any(*s[:2])]
