@@ -10,6 +10,7 @@ from tracesieve.llm.fingerprints import near_duplicates
 from tracesieve.llm.html_text import extract
 from tracesieve.llm.knn import top_k
 from tracesieve.llm.licenses import scan_licenses
+from tracesieve.llm.merkle import verified
 from tracesieve.llm.packing import pack
 from tracesieve.llm.quality import THRESHOLD, held_out, score, train
 from tracesieve.llm.secrets import scan
@@ -87,6 +88,11 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_token_files(spark, write_token_files(_table(spark, sf, "documents")))
 
 
+def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place in the dataset's Merkle tree, and whether a tampered copy of it still leads to the root."""
+    return verified(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": chat_format,
     "op2_html_extraction": html_extraction,
@@ -98,4 +104,5 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash_near_dedup,
     "op9_packing": packing,
     "op10_token_files": token_files,
+    "op12_merkle_manifest": merkle_manifest,
 }

@@ -34,6 +34,57 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+MERKLE = """
+WITH RECURSIVE told AS (
+  SELECT *, CASE WHEN doc_id IS NOT NULL AND text IS NOT NULL AND list_reduce(
+      flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295::BIGINT) & 1 = 1
+    THEN replace(text, chr(10), '') ELSE text END AS tampered
+  FROM documents
+),
+hashed AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(tampered) || ':' || tampered, '-')) AS other
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM told)
+),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+    dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS g
+  FROM hashed
+),
+up AS (
+  SELECT g, i, n, leaf AS h, 0 AS lvl FROM leaves
+  UNION ALL
+  SELECT g, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)), lvl + 1 FROM up WHERE n > 1 GROUP BY g, i // 3, n, lvl
+),
+subroots AS (SELECT g, h, lvl AS height FROM up WHERE n = 1),
+over_up AS (
+  SELECT g AS i, (SELECT count(*) FROM subroots) AS n, h, 0 AS lvl FROM subroots
+  UNION ALL
+  SELECT i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)), lvl + 1 FROM over_up WHERE n > 1 GROUP BY i // 3, n, lvl
+),
+nodes AS (SELECT 0 AS t, g, lvl, i, n, h FROM up UNION ALL SELECT 1, 0, lvl, i, n, h FROM over_up),
+beside AS (
+  SELECT a.t, a.g, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM nodes a LEFT JOIN nodes b ON a.t = b.t AND a.g = b.g AND a.lvl = b.lvl AND a.i // 3 = b.i // 3 AND a.i <> b.i
+  WHERE a.n > 1 GROUP BY a.t, a.g, a.lvl, a.i
+),
+inside AS (
+  SELECT doc_id, leaf, g, i AS own, i, 0 AS lvl, other AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.g, f.own, f.i // 3, f.lvl + 1, sha256(b.before || f.h || b.after), f.proof || b.before || b.after
+  FROM inside f JOIN beside b ON b.t = 0 AND b.g = f.g AND b.lvl = f.lvl AND b.i = f.i
+),
+outside AS (
+  SELECT f.doc_id, f.leaf, f.g, f.own, s.h AS subroot, f.g AS i, 0 AS lvl, f.h, f.proof FROM inside f JOIN subroots s ON s.g = f.g AND s.height = f.lvl
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.g, f.own, f.subroot, f.i // 3, f.lvl + 1, sha256(b.before || f.h || b.after), f.proof || b.before || b.after
+  FROM outside f JOIN beside b ON b.t = 1 AND b.lvl = f.lvl AND b.i = f.i
+)
+SELECT f.doc_id, f.leaf, f.subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM outside f JOIN over_up r ON r.n = 1 AND r.lvl = f.lvl
+"""
+
 
 def licenses_sql() -> str:
     """Every template tried at every word of a text that has its first phrase: no index, no counts."""
@@ -66,4 +117,5 @@ ORACLE_SQL = {
     "op1_chat_format": CHAT,
     "op6_license_scan": licenses_sql(),
     "op5_exact_top_k": TOP_K,
+    "op12_merkle_manifest": MERKLE,
 }
