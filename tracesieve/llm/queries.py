@@ -14,6 +14,7 @@ from tracesieve.llm.merkle import verified
 from tracesieve.llm.packing import pack
 from tracesieve.llm.quality import THRESHOLD, held_out, score, train
 from tracesieve.llm.secrets import scan
+from tracesieve.llm.token_counts import token_counts as count_tokens
 from tracesieve.llm.token_files import read_token_files, write_token_files
 
 
@@ -93,6 +94,11 @@ def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return verified(_table(spark, sf, "documents"))
 
 
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many bytes and tokens every document has, and whether it has over 512 tokens."""
+    return count_tokens(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": chat_format,
     "op2_html_extraction": html_extraction,
@@ -105,4 +111,5 @@ QUERIES = {
     "op9_packing": packing,
     "op10_token_files": token_files,
     "op12_merkle_manifest": merkle_manifest,
+    "op13_token_counts": token_counts,
 }
