@@ -16,6 +16,7 @@ from tracesieve.llm.quality import THRESHOLD, held_out, score, train
 from tracesieve.llm.secrets import scan
 from tracesieve.llm.token_counts import token_counts as count_tokens
 from tracesieve.llm.token_files import read_token_files, write_token_files
+from tracesieve.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -89,6 +90,11 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_token_files(spark, write_token_files(_table(spark, sf, "documents")))
 
 
+def embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector on the 8 leading components of the covariance of all, each scaled to unit variance."""
+    return whiten(_table(spark, sf, "embeddings"), count=8).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's place in the dataset's Merkle tree, and whether a tampered copy of it still leads to the root."""
     return verified(_table(spark, sf, "documents"))
@@ -110,6 +116,7 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash_near_dedup,
     "op9_packing": packing,
     "op10_token_files": token_files,
+    "op11_embedding_whitening": embedding_whitening,
     "op12_merkle_manifest": merkle_manifest,
     "op13_token_counts": token_counts,
 }
