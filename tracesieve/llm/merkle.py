@@ -17,6 +17,8 @@ from tracesieve.session import written
 FANOUT = 3
 #: The columns of ``documents`` in the order in which they are hashed.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+#: Levels that one plan joins on the way down.
+PLANNED = 3
 
 _PATH = "array<struct<before: binary, after: binary>>"
 
@@ -109,19 +111,19 @@ def paths(trees: Trees, above: DataFrame) -> DataFrame:
     below, so that all levels together join half as many rows again as there are leaves.
     """
     carried = [c for c in above.columns if c not in ("tree", "path")]
-    tops = trees.tops.join(above, "tree")
+    kept = [c for c in trees.tops.columns if c not in ("tree", "hash", "height")]
+    tops = written(trees.tops.join(above, "tree"), "merkle-tops").withColumn("idx", F.lit(0).cast("long"))
     own = F.array(F.struct("before", "after")).cast(_PATH)
     now = None
     for k in range(len(trees.steps), -1, -1):
-        ended = tops.where(F.col("height") == k).withColumn("idx", F.lit(0).cast("long"))
-        keep = [c for c in trees.tops.columns if c not in ("tree", "hash", "height")] if k == 0 else []
-        shape = ["tree", "idx", *(["hash", *keep] if k == 0 else []), "path", *carried]
-        level = ended.select(shape)
+        shape = ["tree", "idx", *(["hash", *kept] if k == 0 else []), "path", *carried]
+        level = tops.where(F.col("height") == k).select(shape)
         if now is not None:
             over = now.select("tree", F.col("idx").alias("_up"), F.col("path").alias("_path"), *carried)
             joined = trees.steps[k].withColumn("_up", F.expr(f"idx div {trees.fanout}")).join(over, ["tree", "_up"])
             level = level.unionByName(joined.withColumn("path", F.concat(own, "_path")).select(shape))
-        now = level
+        # Written every few levels, so that no plan holds more of them, however high the trees are.
+        now = written(level, "merkle-paths") if k and k % PLANNED == 0 else level
     return now
 
 
