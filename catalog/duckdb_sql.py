@@ -120,6 +120,63 @@ hard AS (
          arg_min(other, d) FILTER (NOT same) AS neg_id, min(d) FILTER (NOT same) AS d_neg
   FROM pairs GROUP BY curve_id)"""
 
+def fitted_embedding(epochs: int, rate: float) -> str:
+    """The descent written out, a few common tables for each pass: copies dealt to batches, hard triplets, gradient, update."""
+    size, margin, decay, epsilon, reach = 32, 1.0, 0.9, 1e-7, 32
+    pick = "('0x' || substr(md5('deal:' || {tag} || ':' || curve_id || ':' || copy), 1, 15))::BIGINT"
+    start = "((('0x' || substr(md5('42:' || curve_id || ':{o}'), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE * 2 - 1) * sqrt(6.0::DOUBLE / (m + 2)))"
+    parts = [f"""
+        , good AS (SELECT curve_id, x, y_raw, part = 'train' AS fit FROM parts WHERE y_raw <> 0),
+        wanting AS (SELECT fit, y_raw, count(*) AS n, max(count(*)) OVER (PARTITION BY fit) - count(*) AS deficit FROM good GROUP BY fit, y_raw),
+        hits AS (
+          SELECT fit, y_raw, pos, count(*) AS hits FROM (
+            SELECT fit, y_raw, ('0x' || substr(md5('42:' || y_raw || ':' || k), 1, 15))::BIGINT % n AS pos
+            FROM (SELECT *, unnest(range(1, deficit + 1)) AS k FROM wanting)) GROUP BY ALL),
+        copies AS (
+          SELECT p.curve_id, p.y_raw, p.fit, unnest(range(1 + coalesce(h.hits, 0))) AS copy
+          FROM (SELECT *, row_number() OVER (PARTITION BY fit, y_raw ORDER BY md5('42:' || curve_id), curve_id) - 1 AS pos FROM good) p
+          LEFT JOIN hits h USING (fit, y_raw, pos)),
+        sized AS (
+          SELECT greatest(1, ceil(count(*) FILTER (fit) / {size}.0)::BIGINT) AS nt, greatest(1, ceil(count(*) FILTER (NOT fit) / {size}.0)::BIGINT) AS nv FROM copies),
+        kern AS MATERIALIZED (
+          SELECT a.curve_id AS i, b.curve_id AS j, exp(-{dist('a', 'b')} / 8.0::DOUBLE) AS k FROM good a JOIN good b ON b.fit),
+        w0 AS MATERIALIZED (
+          SELECT curve_id AS j, {start.format(o=0)} AS a, {start.format(o=1)} AS b, 0.0::DOUBLE AS sa, 0.0::DOUBLE AS sb
+          FROM good, (SELECT count(*) AS m FROM good WHERE fit) WHERE fit)"""]
+    for p in range(epochs + 1):
+        parts.append(f""",
+        e{p} AS MATERIALIZED (SELECT i, sum(k * a) AS e0, sum(k * b) AS e1 FROM kern JOIN w{p} USING (j) GROUP BY i),
+        c{p} AS MATERIALIZED (
+          SELECT curve_id, copy, y_raw, fit, e0, e1, CASE WHEN fit THEN {pick.format(tag=f"'{p + 1}'")} % nt ELSE -1 - {pick.format(tag="'val'")} % nv END AS batch
+          FROM copies JOIN e{p} ON i = curve_id, sized),
+        f{p} AS (
+          SELECT a.batch, a.curve_id, a.copy, a.e0, a.e1, max(d) FILTER (same) AS dp, arg_max(o, d) FILTER (same) AS p, min(d) FILTER (NOT same) AS dn, arg_min(o, d) FILTER (NOT same) AS q
+          FROM c{p} a JOIN c{p} b ON a.batch = b.batch AND (a.curve_id <> b.curve_id OR a.copy <> b.copy),
+               LATERAL (SELECT sqrt((a.e0 - b.e0) ** 2 + (a.e1 - b.e1) ** 2) AS d, a.y_raw = b.y_raw AS same, {{'id': b.curve_id, 'e0': b.e0, 'e1': b.e1}} AS o)
+          GROUP BY ALL HAVING count(*) FILTER (NOT same) > 0),
+        h{p} AS MATERIALIZED (SELECT *, greatest(coalesce(dp, 0) - dn + {margin}, 0) AS term, count(*) OVER (PARTITION BY batch) AS size FROM f{p}),
+        l{p} AS MATERIALIZED (
+          SELECT sum(term / size) FILTER (batch >= 0) / count(DISTINCT batch) FILTER (batch >= 0) AS trained, count(DISTINCT batch) FILTER (batch >= 0) AS n,
+                 avg(term) FILTER (batch < 0) AS watched FROM h{p})""")
+        if p < epochs:
+            pulls = " UNION ALL ".join(
+                f"SELECT {to} AS i, {sign} * (e0 - {o}.e0) / {d} / size AS g0, {sign} * (e1 - {o}.e1) / {d} / size AS g1 FROM h{p} WHERE batch >= 0 AND term > 0 AND {d} > 0"
+                for o, d, side in (("p", "dp", 1), ("q", "dn", -1)) for to, sign in (("curve_id", side), (f"{o}.id", -side))
+            )
+            moved = f"least((SELECT nt FROM sized), {reach}) * {rate}::DOUBLE"
+            parts.append(f""",
+        u{p} AS (SELECT i, sum(g0) AS g0, sum(g1) AS g1 FROM ({pulls}) GROUP BY i),
+        g{p} AS (SELECT j, sum(k * g0) / (SELECT n FROM l{p}) AS g0, sum(k * g1) / (SELECT n FROM l{p}) AS g1 FROM kern JOIN u{p} USING (i) GROUP BY j),
+        w{p + 1} AS MATERIALIZED (
+          SELECT j, a - {moved} * coalesce(g0, 0) / (sqrt(ta) + {epsilon}) AS a, b - {moved} * coalesce(g1, 0) / (sqrt(tb) + {epsilon}) AS b, ta AS sa, tb AS sb
+          FROM (SELECT w.*, g0, g1, {decay}::DOUBLE * sa + (1 - {decay}::DOUBLE) * coalesce(g0, 0) ** 2 AS ta, {decay}::DOUBLE * sb + (1 - {decay}::DOUBLE) * coalesce(g1, 0) ** 2 AS tb FROM w{p} w LEFT JOIN g{p} USING (j)))""")
+    tried = " UNION ALL ".join(f"SELECT {p} AS p, coalesce((SELECT watched FROM l{p}), (SELECT trained FROM l{p - 1})) AS loss" for p in range(1, epochs + 1))
+    every = " UNION ALL ".join(f"SELECT {p} AS p, j, a, b FROM w{p}" for p in range(1, epochs + 1))
+    return "".join(parts) + f""",
+        best AS (SELECT p, loss FROM ({tried}) ORDER BY loss, p LIMIT 1)
+        SELECT j AS curve_id, {r6('a')} AS w0, {r6('b')} AS w1, {r6('loss')} AS val_loss FROM ({every}) JOIN best USING (p)"""
+
+
 SQL: dict[str, str] = {
     # sources and sinks
     "load_curves": f"SELECT curve_id, y_raw, len(x)::INTEGER AS n_dims, {r6('list_sum(x)')} AS x_sum FROM curves",
@@ -258,6 +315,7 @@ SQL: dict[str, str] = {
           SELECT p.curve_id, sum(exp(-{dist('p', 's')} / 8.0::DOUBLE) * {weight('coef', 's.curve_id')}) + 0.25 AS z
           FROM (SELECT curve_id, x FROM rest UNION ALL SELECT curve_id, x FROM test) p, screened s GROUP BY p.curve_id)
         SELECT curve_id, {r6('1 / (1 + exp(z))')} AS p_bad, {r6('1 / (1 + exp(-z))')} AS p_good, (z > 0)::INTEGER AS pred FROM z""",
+    "fit_metric_embedding": fitted_embedding(2, 1e-4),
     "nearest_centroid": "SELECT curve_id, cluster FROM clustered",
     # Elimination of one anchor a step from the covariance of all anchors and test rows: what is left of a test row's own variance.
     "posterior_variance": f"""

@@ -486,9 +486,13 @@ def screening_loop(v: Views) -> DataFrame:
     )
 
 
+#: A stated number of steps, which SQL can follow; slow ones, so that triplets are left to learn from.
+STATED = embedding.Training(epochs=2, rate=1e-4)
+
+
 def _embedding(v: Views):
     sides = [sampling.copy_weights(labels.positives_only(d).select("curve_id", "x", "y_raw"), "y_raw") for d in (v.train, v.val)]
-    return embedding.fit_metric_embedding(*sides, SCALE)
+    return embedding.fit_metric_embedding(*sides, SCALE, t=STATED)
 
 
 @query

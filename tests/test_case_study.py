@@ -28,7 +28,7 @@ def test_archives_to_exports(spark, tmp_path, dataset):
         archive(tmp_path / f"{name}.npz", n, seed, shift)
         ingest_archives(spark, str(tmp_path / f"{name}.npz"), dataset).write.parquet(str(tmp_path / name))
     out = tmp_path / "out"
-    settings = Settings(n_per_round=20, checkpoints=(20, 40, 60), max_rounds=3, kmeans_restarts=1, training=Training(epochs=40))
+    settings = Settings(n_per_round=20, checkpoints=(20, 40, 60), max_rounds=3, kmeans_restarts=1, training=Training(epochs=8, rate=5e-2))
     run = run_case_study(spark, str(tmp_path), dataset.upper(), settings, flat, (6, 6), pool_size=70, export_path=str(out), export_distances=True)
     rounds = run.rounds.orderBy("round").collect()
     assert [r["n_screened"] for r in rounds][:2] == [20, 40]
