@@ -167,6 +167,19 @@ def slow_best(docs, items):
                 yield d, i, round(found[s], 9), s
 
 
+@pytest.mark.parametrize("width", [16, 32])
+def test_windows_of_a_run_have_their_own_fingerprints(spark, width):
+    rng = np.random.default_rng(9)
+    runs, want = [], {}
+    for row, (n, k, first, size, starts) in enumerate([(12, 5, 3, 60, [3, 4, 7, 30, 51]), (3, 3, 0, 40, list(range(38))), (1, 1, 5, 4, [5, 6, 8]), (50, 5, 0, 20, [0]), (300, 5, 10, 700, [10, 11, 12, 400, 410]), (9, 5, 0, 2, [0])]):
+        words = [f"w{i}" for i in rng.integers(0, 30, size)]
+        runs.append((row, n, k, first, starts, words))
+        want |= {(row, s): words[s - first : s - first + n] for s in starts}
+    got = {(r["_row"], r["start"]): r["fp"] for r in clean._window_prints(spark.createDataFrame(runs, "_row long, n int, k int, first int, starts array<int>, words array<string>"), width).collect()}
+    direct = clean._prints(spark.createDataFrame([(*key, words, runs[key[0]][2]) for key, words in want.items()], "_row long, start int, words array<string>, k int"))
+    assert got == {(r["_row"], r["start"]): r["fp"] for r in direct.collect()}
+
+
 def test_reordered_passages(spark):
     rng = np.random.default_rng(11)
     other = lambda n: [f"x{i}" for i in rng.integers(0, 10**6, n)]
