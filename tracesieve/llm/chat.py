@@ -49,9 +49,12 @@ def best_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
 
     ``messages`` has ``tree`` and ``node`` (text keys), ``parent``, ``score``, ``role`` and ``text``.  A path's score is the mean of its
     messages'; ``branch`` ranks a tree's paths by it, ties to the lesser leaf key.  ``at`` counts up from the root.
-    A parent that is not in the tree makes a root; nodes on a loop are on no path; null scores count as 0.
+    A parent that is not in the tree makes a root; nodes on a loop are on no path; null scores count as 0.  Rows of one tree and node are
+    one message: the one with the least parent (none before any), then score, role and text.  Rows without a tree or a node are on no path.
+    An empty table has no paths; other columns are not read.
     """
-    nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), "role", "text")
+    told = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), "role", "text").where("tree is not null and node is not null")
+    nodes = told.groupBy("tree", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("m")).select("tree", "node", "m.*")
     own = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("found"))
     nodes = written(nodes.join(own, ["tree", "parent"], "left").withColumn("parent", F.when(F.col("found"), F.col("parent"))).drop("found"), "chat-nodes")
     tables, paths = _jumps(nodes)
