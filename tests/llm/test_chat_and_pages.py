@@ -1,6 +1,7 @@
 """Chat formatting and page extraction."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,17 @@ def test_all_paths_of_a_tree(tree):
         assert formatted.count("<|end|>") == len(turns) and "[INST]" not in formatted and "</s>" not in formatted
 
 
+def test_repeated_nodes_are_one_message(spark, tree):
+    three = tree.unionByName(tree).unionByName(tree)
+    assert read(chat.best_paths(three)) == read(chat.best_paths(tree)) and chat.best_paths(three).count() == chat.best_paths(tree).count()
+    chain = [("c", str(i), str(i - 1) if i else None, 1.0, "user", f"m{i}") for i in range(20)]
+    other = [("c", "7", "6", 2.0, "user", "later"), ("c", "7", "zzz", 0.0, "user", "higher parent"), (None, "1", None, 1.0, "user", "no tree"), ("c", None, "3", 1.0, "user", "no node")]
+    table = spark.createDataFrame(chain * 5 + other, MESSAGES).repartition(3)
+    got = read(chat.best_paths(table))
+    assert {k: [t for _, t in v[1]] for k, v in got.items()} == {("c", "19"): [f"m{i}" for i in range(20)]}
+    assert chat.best_paths(table.where("false")).count() == 0
+
+
 def test_best_path_only(tree):
     assert set(read(chat.best_paths(tree, best=1))) == {("t", "6"), ("u", "1")}
 
@@ -83,6 +95,22 @@ def test_query_reads_back_conversations(spark):
     assert own["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
 
 
+def test_a_page_100000_deep():
+    deep = parse("<html><body>" + "<div>" * 100_000 + "The text far below." + "</div>" * 100_000)
+    flat = [parse("<html><body><p>One sentence.</p><nav><a href='/'>Home</a></nav></body></html>")] * 300
+    model = trained()
+    want = model.marginals(Forest.of(flat), edges=False)[0]
+    start = time.process_time()
+    got = model.marginals(Forest.of([deep, *flat]), edges=False)[0]
+    assert time.process_time() - start < 5
+    assert np.allclose(got[len(deep.parent) :], want) and np.isfinite(got).all()
+
+
+def test_a_name_behind_a_long_value_is_read():
+    plain, named = (parse(f"<body><div class='{'u1 ' * 700}{name}'>Text here.</div></body>") for name in ("", "zebra"))
+    assert len(named.at) > len(plain.at)
+
+
 def test_marginals_are_those_of_all_labellings():
     rng = np.random.default_rng(3)
     page = parse('<div class="a"><p>x <b>y</b></p><ul><li>z</ul></div>')

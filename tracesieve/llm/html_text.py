@@ -21,13 +21,19 @@ NODES = 200_000
 
 @dataclass
 class Forest:
-    """The nodes of some pages in a row: parents, the nodes of each depth, features and edge types."""
+    """The nodes of some pages in a row: parents, features and edge types, and the order in which messages go.
+
+    ``order`` puts the nodes of one depth side by side, those of one parent too; ``starts`` are the places where a depth begins and
+    ``families`` those where a parent's children do.
+    """
 
     parent: np.ndarray
-    levels: list[np.ndarray]
     cuts: np.ndarray
     at: np.ndarray
     edge: np.ndarray
+    order: np.ndarray
+    starts: np.ndarray
+    families: np.ndarray
 
     @staticmethod
     def of(pages: list[Page]) -> "Forest":
@@ -38,9 +44,11 @@ class Forest:
         counts = np.fromiter((b - a for p in pages for a, b in zip(p.cuts, p.cuts[1:])), np.int64, sizes.sum())
         at = np.fromiter((x for p in pages for x in p.at), np.int64, counts.sum())
         edge = np.fromiter((x for p in pages for x in p.edge), np.int64, sizes.sum())
-        order = np.argsort(depth, kind="stable")
-        levels = np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max() + 1))) if len(depth) else []
-        return Forest(np.where(parent < 0, -1, parent + first), levels, np.concatenate(([0], np.cumsum(counts))), at, edge)
+        parent = np.where(parent < 0, -1, parent + first)
+        order = np.lexsort((parent, depth))
+        starts = np.flatnonzero(np.diff(depth[order], prepend=-1))
+        families = np.flatnonzero(np.diff(parent[order], prepend=-2))
+        return Forest(parent, np.concatenate(([0], np.cumsum(counts))), at, edge, order, starts, families)
 
 
 @dataclass
@@ -50,35 +58,47 @@ class TreeModel:
     weights: np.ndarray
     edges: np.ndarray
 
-    def marginals(self, f: Forest) -> tuple[np.ndarray, np.ndarray]:
-        """By sum-product: each node's probability of content, and the joint one of parent and child for each edge.
+    def marginals(self, f: Forest, edges: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """By sum-product: each node's probability of content, and (if asked for) the joint one of parent and child for each edge.
 
         Upward, a node tells its parent for each state of it how well all below fits; downward, it tells each child how well all
-        the rest fits.  Nodes of one depth send their messages together.
+        the rest fits.  Nodes of one depth send their messages together, and a depth costs what its nodes do, however many depths
+        there are.
         """
         n = len(f.parent)
-        own = np.zeros((n, 2))
         ends = np.concatenate(([0.0], np.cumsum(self.weights[f.at])))
-        own[:, 1] = ends[f.cuts[1:]] - ends[f.cuts[:-1]]
-        table = self.edges[f.edge]
-        below, up = own.copy(), np.zeros((n, 2))
-        for level in f.levels[:0:-1]:
-            up[level] = np.logaddexp.reduce(table[level] + below[level][:, None, :], axis=2)
-            for state in (0, 1):
-                below[:, state] += np.bincount(f.parent[level], up[level, state], n)
-        rest = np.zeros((n, 2))  # what a node's parent says of all that is not below the node, in states of the parent
+        below = np.zeros((n, 2))
+        below[:, 1] = (ends[f.cuts[1:]] - ends[f.cuts[:-1]])[f.order]
+        place = np.empty(n, np.int64)
+        place[f.order] = np.arange(n)
+        over = place[f.parent[f.order]]  # where each node's parent stands in this order; of a root, unused
+        table, up, rest = self.edges[f.edge[f.order]], np.zeros((n, 2)), np.zeros((n, 2))
+        # Sums of a parent's children: one call for a depth, and none of them looks at another depth's nodes.
+        levels = list(zip(f.starts.tolist(), [*f.starts[1:].tolist(), n], np.searchsorted(f.families, f.starts).tolist(), [*np.searchsorted(f.families, f.starts[1:]).tolist(), len(f.families)]))
+        for a, b, first, last in levels[:0:-1]:
+            t = table[a:b] + below[a:b, None, :]
+            up[a:b] = np.logaddexp(t[:, :, 0], t[:, :, 1])
+            if last - first == 1:
+                below[over[a]] += up[a:b].sum(axis=0)
+            else:
+                heads = f.families[first:last]
+                below[over[heads]] += np.add.reduceat(up[a:b], heads - a, axis=0)
         whole = below.copy()
+        for a, b, _, _ in levels[1:]:
+            rest[a:b] = whole[over[a:b]] - up[a:b]  # what a node's parent says of all that is not below the node, in states of the parent
+            t = rest[a:b, :, None] + table[a:b]
+            own = below[a:b] + np.logaddexp(t[:, 0], t[:, 1])
+            whole[a:b] = own - np.maximum(own[:, :1], own[:, 1:])
+        content = np.empty(n)
+        content[f.order] = 1 / (1 + np.exp(np.clip(whole[:, 0] - whole[:, 1], -500, 500)))
+        if not edges:
+            return content, None
+        joint = rest[:, :, None] + table + below[:, None, :]
+        joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
         pairs = np.zeros((n, 2, 2))
-        for level in f.levels[1:]:
-            over = f.parent[level]
-            rest[level] = whole[over] - up[level]
-            joint = rest[level][:, :, None] + table[level] + below[level][:, None, :]
-            joint -= joint.max(axis=(1, 2), keepdims=True)
-            whole[level] = below[level] + np.logaddexp.reduce(rest[level][:, :, None] + table[level], axis=1)
-            whole[level] -= whole[level].max(axis=1, keepdims=True)
-            joint = np.exp(joint)
-            pairs[level] = joint / joint.sum(axis=(1, 2), keepdims=True)
-        return 1 / (1 + np.exp(np.clip(whole[:, 0] - whole[:, 1], -500, 500))), pairs
+        pairs[f.order] = joint / joint.sum(axis=(1, 2), keepdims=True)
+        pairs[f.parent < 0] = 0
+        return content, pairs
 
 
 def fit(pages: list[Page], steps: int = 120, rate: float = 0.3, ridge: float = 1e-5) -> TreeModel:
@@ -124,7 +144,7 @@ def main_text(page: Page, content: np.ndarray) -> str:
 def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     """Per row: ``page_id``, ``url``, the main ``text`` of ``html`` (empty if none) and its code points ``n_chars``.
 
-    Whole pages are read in one pass without a shuffle; a null page is empty.  Null keys and repeated rows stay, other columns are not
+    Whole pages are read in one pass without a shuffle; a null page is empty; a very long or very deep one costs what its nodes do.  Null keys and repeated rows stay, other columns are not
     read.  The model's size is fixed by its parameters (40 KB) whatever the input.
     """
     text_batches(pages)
@@ -136,7 +156,7 @@ def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
             held: list[Page] = []
 
             def flush() -> None:
-                content = model.marginals(Forest.of(held))[0]
+                content = model.marginals(Forest.of(held), edges=False)[0]
                 at = 0
                 for page in held:
                     texts.append(main_text(page, content[at : at + len(page.parent)]))

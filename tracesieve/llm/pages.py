@@ -76,7 +76,7 @@ def _element_features(tag: str, rest: str, parent: str) -> tuple[list[str], int
             value = m[2] or m[3] or m[4] or ""
             if name in ("class", "id", "role", "itemprop", "aria-label"):
                 low = value.lower()
-                for part in set(_NAME.findall(value[:500])):
+                for part in set(_NAME.findall(value)):
                     found.append("name " + part.lower())
                 found += ["hint " + h for h in HINTS if h in low]
             elif name == "data-content":
