@@ -1,8 +1,10 @@
 import os
 import sys
 
-import numpy as np
-import pytest
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # its threads do not outlive the fork that starts the JVM
+
+import numpy as np  # noqa: E402
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
