@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracesieve.functions.kernels import SCALES, kernel, scale_grid
 from tracesieve.operators.blocks import Limits
 from tracesieve.operators.distance import anchor_features, kernel_expand, pairwise_distance
-from tracesieve.operators.triplet import triplet_hard_pairs, triplet_loss, triplet_terms
+from tracesieve.operators.triplet import pairs_met, triplet_hard_pairs, triplet_loss, triplet_terms
 
 TILED = Limits(rows=5, passes=0, block=16)  # forces the tiled join on seventy rows
 PASSES = Limits(rows=30, passes=9)  # forces several broadcast passes
@@ -91,3 +91,24 @@ def test_triplets_without_partner(spark):
     rows = {r["curve_id"]: r for r in triplet_hard_pairs(df).collect()}
     assert rows[1]["pos_id"] is None and rows[1]["neg_id"] == 2 and np.isclose(rows[1]["d_neg"], 3)
     assert triplet_terms(triplet_hard_pairs(df.where("y_raw = 1"))).count() == 0
+
+
+def test_hard_triplets_of_planted_clusters_skip_most_pairs(spark):
+    rng = np.random.default_rng(12)
+    centers = rng.uniform(-20, 20, (24, 3))
+    at = rng.integers(0, 24, 1500)
+    x, y = centers[at] + rng.normal(0, 0.4, (1500, 3)), at % 4 + 1
+    x[100:140], y[100:140] = x[100], y[100]  # copies of one item
+    ids = rng.permutation(10_000)[:1500]
+    rows = spark.createDataFrame([(int(i), int(c), v.tolist()) for i, c, v in zip(ids, y, x)], "curve_id long, y_raw int, x array<double>").repartition(3)
+    met, all_pairs = pairs_met(rows, pivots=48)
+    assert all_pairs == 1500**2 and met < 0.35 * all_pairs
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    same = y[:, None] == y[None, :]
+    far, near = np.where(same & ~np.eye(1500, dtype=bool), d, -1).max(axis=1), np.where(same, np.inf, d).min(axis=1)
+    got = triplet_hard_pairs(rows, limits=Limits(rows=100, block=64), pivots=48).toPandas().set_index("curve_id").loc[ids]
+    assert np.allclose(got["d_pos"], far, atol=1e-6) and np.allclose(got["d_neg"], near, atol=1e-6)
+    place = {int(i): n for n, i in enumerate(ids)}
+    for own, other, want in (("pos_id", True, far), ("neg_id", False, near)):
+        to = np.array([place[int(i)] for i in got[own]])
+        assert np.allclose(d[np.arange(1500), to], want, atol=1e-6) and (same[np.arange(1500), to] == other).all()
