@@ -120,6 +120,19 @@ hard AS (
          arg_min(other, d) FILTER (NOT same) AS neg_id, min(d) FILTER (NOT same) AS d_neg
   FROM pairs GROUP BY curve_id)"""
 
+CLASS_MEANS = f"""
+        , means AS (
+          SELECT y, list(m ORDER BY i) AS x FROM (
+            SELECT y, i, avg(v) AS m FROM (SELECT y, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM pool) GROUP BY y, i)
+          GROUP BY y),
+        k AS (
+          SELECT t.curve_id, exp(-{dist('t', 'a')} / 8.0::DOUBLE) AS k0, exp(-{dist('t', 'b')} / 8.0::DOUBLE) AS k1,
+                 exp(-{dist('a', 'b')} / 8.0::DOUBLE) AS c, 1 + 1e-8::DOUBLE AS s
+          FROM test t, means a, means b WHERE a.y = 0 AND b.y = 1),
+        by_means AS (SELECT curve_id, greatest(1 - (s * k0 * k0 - 2 * c * k0 * k1 + s * k1 * k1) / (s * s - c * c), 0.0) AS variance FROM k)
+        """
+
+
 def fitted_embedding(epochs: int, rate: float) -> str:
     """The descent written out, a few common tables for each pass: copies dealt to batches, hard triplets, gradient, update."""
     size, margin, decay, epsilon, reach = 32, 1.0, 0.9, 1e-7, 32
@@ -352,16 +365,9 @@ SQL: dict[str, str] = {
           FROM splits, whole WHERE n0 BETWEEN 1 AND n - 1 ORDER BY cost LIMIT 1),
         centers2 AS (SELECT x0 AS e0, y0 AS e1, cost FROM best UNION ALL SELECT x1, y1, cost FROM best)
         SELECT (row_number() OVER (ORDER BY e0, e1) - 1)::INTEGER AS cluster, {r6('e0')} AS e0, {r6('e1')} AS e1, {r6('cost')} AS cost FROM centers2""",
-    "posterior_variance_class_means": f"""
-        , means AS (
-          SELECT y, list(m ORDER BY i) AS x FROM (
-            SELECT y, i, avg(v) AS m FROM (SELECT y, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM pool) GROUP BY y, i)
-          GROUP BY y),
-        k AS (
-          SELECT t.curve_id, exp(-{dist('t', 'a')} / 8.0::DOUBLE) AS k0, exp(-{dist('t', 'b')} / 8.0::DOUBLE) AS k1,
-                 exp(-{dist('a', 'b')} / 8.0::DOUBLE) AS c, 1 + 1e-8::DOUBLE AS s
-          FROM test t, means a, means b WHERE a.y = 0 AND b.y = 1)
-        SELECT curve_id, {r6('greatest(1 - (s * k0 * k0 - 2 * c * k0 * k1 + s * k1 * k1) / (s * s - c * c), 0.0)')} AS variance FROM k""",
+    "posterior_variance_class_means": CLASS_MEANS + f"SELECT curve_id, {r6('variance')} AS variance FROM by_means",
+    "novelty_table": CLASS_MEANS + f"SELECT curve_id, y_raw, pred, {r6('projection')} AS projection, {r6('variance')} AS variance FROM projected JOIN by_means USING (curve_id)",
+
 }
 
 

@@ -518,8 +518,7 @@ def posterior_variance(v: Views) -> DataFrame:
     return variance.posterior_variance(v.test, v.pool, SCALE).withColumn("variance", r6("variance"))
 
 
-@query
-def posterior_variance_class_means(v: Views) -> DataFrame:
+def _class_means(v: Views) -> DataFrame:
     """Two anchors, the mean vectors of bad and good pool rows, where the formula has a closed form."""
     parts = v.pool.select("y", F.posexplode("x").alias("pos", "v")).groupBy("y", "pos").agg(F.avg("v").alias("v"))
     wide = parts.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))  # one value per vector position
@@ -527,8 +526,20 @@ def posterior_variance_class_means(v: Views) -> DataFrame:
     return variance.posterior_variance(v.test, means, SCALE).withColumn("variance", r6("variance"))
 
 
+@query
+def posterior_variance_class_means(v: Views) -> DataFrame:
+    return _class_means(v)
+
+
 @query
 def novelty_table_query(v: Views) -> DataFrame:
+    """The view over a fixed plane and fixed labels, so that SQL can follow it."""
+    return novelty_table(_projected(v).join(_class_means(v), "curve_id")).withColumn("projection", r6("projection"))
+
+
+@query
+def novelty_discovery(v: Views) -> DataFrame:
+    """The view over layers that are all fitted: classifier, embedding, clusters and variance."""
     train, val = _weighted(v)
     model = classify.tune_kernel_classifier(train, val)
     scored = classify.score(v.test, model, keep=["y_raw", "x"])

@@ -12,7 +12,7 @@ from check import compare
 
 SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
-SLOW = {"screening_loop", "novelty_table"}  # covered end to end in test_screening
+SLOW = {"screening_loop", "novelty_discovery"}  # covered end to end in test_screening
 
 
 @pytest.fixture(scope="module")
