@@ -490,6 +490,10 @@ def screening_loop(v: Views) -> DataFrame:
 STATED = embedding.Training(epochs=2, rate=1e-4)
 
 
+#: Few epochs of larger steps: each epoch is a pass over the cluster.
+BRIEF = embedding.Training(epochs=16, rate=1e-2)
+
+
 def _embedding(v: Views):
     sides = [sampling.copy_weights(labels.positives_only(d).select("curve_id", "x", "y_raw"), "y_raw") for d in (v.train, v.val)]
     return embedding.fit_metric_embedding(*sides, SCALE, t=STATED)
@@ -543,7 +547,7 @@ def novelty_discovery(v: Views) -> DataFrame:
     train, val = _weighted(v)
     model = classify.tune_kernel_classifier(train, val)
     scored = classify.score(v.test, model, keep=["y_raw", "x"])
-    found = discover(v.screened, scored, v.test, v.pool, model.scale, last=True)
+    found = discover(v.screened, scored, v.test, v.pool, model.scale, last=True, training=BRIEF)
     return novelty_table(found.points)
 
 
