@@ -262,6 +262,7 @@ SQL: dict[str, str] = {
     # joins
     "pairwise_distance_self": f"SELECT a.curve_id AS i, b.curve_id AS j, {r6(dist('a', 'b'))} AS d FROM curves a, curves b",
     "pairwise_distance_cross": f"SELECT a.curve_id AS i, b.curve_id AS j, {r6(dist('a', 'b'))} AS d FROM test a, pool b",
+    "pairwise_distance_within": f"SELECT i, j, {r6('d')} AS d FROM (SELECT a.curve_id AS i, b.curve_id AS j, {dist('a', 'b')} AS d FROM curves a, curves b) WHERE d <= -ln(0.25::DOUBLE)",
     "anchor_features": f"""
         , t AS (SELECT curve_id, x, row_number() OVER (ORDER BY curve_id) - 1 AS pos FROM parts WHERE part = 'train')
         SELECT p.curve_id, t.pos::INTEGER AS pos, {r6(dist('p', 't'))} AS d FROM pool p, t""",

@@ -11,7 +11,7 @@ from catalog.views import ROUND_SIZE, SCALE, Views, number, packed, pixels, r6,
 from tracesieve.functions import images, labels
 from tracesieve.functions.geometry import midpoint_normal, signed_projection
 from tracesieve.functions.kernels import SCALES, kernel, kernel_means
-from tracesieve.operators import classify, clusters, distance, embedding, metrics, ranking, sampling, selection, triplet, variance
+from tracesieve.operators import classify, clusters, distance, embedding, metrics, nearness, ranking, sampling, selection, triplet, variance
 from tracesieve.plans import reporting
 from tracesieve.plans.discovery import discover, novelty_table
 from tracesieve.plans.screening import Settings, screen
@@ -270,6 +270,12 @@ def pairwise_distance_cross(v: Views) -> DataFrame:
     return distance.pairwise_distance(v.test, v.pool).withColumn("d", r6("d"))
 
 
+@query
+def pairwise_distance_within(v: Views) -> DataFrame:
+    """Pairs whose kernel value at a scale of 1 is at least a quarter: neighbours, without the matrix."""
+    return nearness.pairs_within(v.curves, v.curves, nearness.kernel_reach(1.0, 0.25)).withColumn("d", r6("d"))
+
+
 @query
 def anchor_features(v: Views) -> DataFrame:
     got = distance.anchor_features(v.pool, v.train)

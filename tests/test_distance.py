@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracesieve.functions.kernels import SCALES, kernel, scale_grid
 from tracesieve.operators.blocks import Limits
 from tracesieve.operators.distance import anchor_features, kernel_expand, pairwise_distance
+from tracesieve.operators.nearness import kernel_reach, pairs_within
 from tracesieve.operators.triplet import pairs_met, triplet_hard_pairs, triplet_loss, triplet_terms
 
 TILED = Limits(rows=5, passes=0, block=16)  # forces the tiled join on seventy rows
@@ -112,3 +113,22 @@ def test_hard_triplets_of_planted_clusters_skip_most_pairs(spark):
     for own, other, want in (("pos_id", True, far), ("neg_id", False, near)):
         to = np.array([place[int(i)] for i in got[own]])
         assert np.allclose(d[np.arange(1500), to], want, atol=1e-6) and (same[np.arange(1500), to] == other).all()
+
+
+@pytest.mark.parametrize("l, reach", [(2.0, 2.5), (1.0, 2.0), (0.5, 2.2)])
+def test_pairs_within_a_distance_are_all_found(spark, l, reach):
+    rng = np.random.default_rng(13)
+    at = rng.integers(0, 12, 400)
+    x = rng.uniform(-15, 15, (12, 3))[at] + rng.normal(0, 0.5, (400, 3))
+    x[50:60] = x[50]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "curve_id long, x array<double>").repartition(3)
+    d = (np.abs(x[:, None] - x[None]) ** l).sum(axis=2)
+    some = rows.where("curve_id < 150")
+    got = {(r["i"], r["j"]): r["d"] for r in pairs_within(some, rows, reach, l, pivots=20, block=16).collect()}
+    sure = {(i, j) for i in range(150) for j in range(400) if d[i, j] <= reach - 1e-9}
+    assert sure <= set(got) and all(d[k] <= reach + 1e-9 and abs(d[k] - v) < 1e-7 for k, v in got.items()) and len(sure) < 150 * 400 / 5
+    assert pairs_within(some, rows.limit(0), reach, l).count() == 0 == pairs_within(some.limit(0), rows, reach, l).count()
+
+
+def test_reach_of_a_kernel():
+    assert np.isclose(np.exp(-kernel_reach(8.0, 1e-3) / 8.0), 1e-3)
