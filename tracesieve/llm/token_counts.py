@@ -32,7 +32,7 @@ LONG = 2048
 LIMIT = 512
 
 # The code points with the property White_Space.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _NEVER = np.int32(2**31 - 1)
 
