@@ -228,10 +228,9 @@ def slow_top(rows, k):
     return {(q, n + 1, d, s) for q, best in out.items() for n, (d, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k])}
 
 
-@pytest.mark.parametrize("block", [(8192, 4096), (7, 3)])
-def test_top_k(spark, monkeypatch, block):
-    monkeypatch.setattr(knn, "DATA_ROWS", block[0])
-    monkeypatch.setattr(knn, "QUERY_ROWS", block[1])
+@pytest.mark.parametrize("task_bytes", [knn.TASK_BYTES, 280, 80])
+def test_top_k(spark, monkeypatch, task_bytes):
+    monkeypatch.setattr(knn, "TASK_BYTES", task_bytes)
     rng = np.random.default_rng(4)
     middle = rng.normal(0, 3, (6, 5))
     rows = [(int(i), [float(x) for x in middle[i % 6] + rng.normal(0, 0.2, 5)]) for i in range(400)]
@@ -243,6 +242,45 @@ def test_top_k(spark, monkeypatch, block):
         assert len(got) == len(set(got)) and set(got) == slow_top(rows, k)
 
 
+def test_rows_are_copied_only_where_they_can_matter(spark, monkeypatch):
+    """Of 16 well-parted clusters, a row goes to one bundle of query groups or few, and no task holds more than its share."""
+    monkeypatch.setattr(knn, "TASK_BYTES", 100 * 8 * 16)
+    rng = np.random.default_rng(6)
+    middle = np.eye(16) * 4
+    rows = [(i, [float(x) for x in middle[i % 16] + rng.normal(0, 0.05, 16)]) for i in range(16, 8016)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    visits, copies, size = knn.deal(table, F.col("vec_id") % 5 == 0, pivots=64)
+    bundles = visits.select("bundle").distinct().count()
+    met = copies.groupBy("bundle", "block", "part").count().toPandas()
+    asked = visits.groupBy("bundle", "block", "part").count().toPandas()
+    blocks = met.groupby("bundle")["block"].nunique().sum()
+    assert size == 16 and bundles >= 8
+    assert met["count"].sum() < 0.25 * len(rows) * blocks
+    assert met["count"].max() <= 130 and asked["count"].max() <= 140
+    got = {tuple(r) for r in knn.top_k(table, F.col("vec_id") % 400 == 0, k=3, pivots=64).collect()}
+    m = {k: np.floor(256 * np.array(v)) for k, v in rows}
+    names = np.array(list(m))
+    every = np.array([m[k] for k in names])
+    want = set()
+    for q in names[names % 400 == 0]:
+        score = every @ m[q]
+        order = [i for i in np.lexsort((names, -score)) if names[i] != q][:3]
+        want |= {(int(q), n + 1, int(names[i]), int(score[i])) for n, i in enumerate(order)}
+    assert got == want
+
+
+def test_a_key_of_a_third_of_the_rows_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(knn, "TASK_BYTES", 100 * 8 * 3)
+    rng = np.random.default_rng(7)
+    rows = [(7 if i % 3 else i, [float(x) for x in rng.normal(0, 1, 3)]) for i in range(900)] + [(50, [1.0, 2.0, 3.0])] * 300
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    visits, copies, _ = knn.deal(table, F.col("vec_id") % 50 == 0)
+    met = copies.groupBy("bundle", "block", "part").count().toPandas()
+    assert met["count"].max() <= 130
+    assert visits.where("vec_id = 50").select("v").distinct().count() == visits.where("vec_id = 50 and part = 0").count()
+    assert {tuple(r) for r in knn.top_k(table, F.col("vec_id") % 50 == 0).collect()} == slow_top(rows, 5)
+
+
 def test_top_k_of_few_and_huge(spark):
     few = spark.createDataFrame([(0, [1.0]), (50, [2.0])], "vec_id long, embedding array<double>")
     asks = F.col("vec_id") % 50 == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +11,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracesieve.session import ship, written
 
-#: Pivots, which bounds all that the driver keeps: a vector and ``k + 1`` distances for each.
-PIVOTS = 64
-#: Data rows and query rows that meet in one task at most, about; larger groups are cut by a hash of their key.
-DATA_ROWS = 8192
-QUERY_ROWS = 4096
-#: Queries scored at a time within a task.
-RUN = 256
+#: Fewest and most pivots, and the queries that one pivot is drawn for between them.  They bound all that the driver keeps: a vector
+#: and ``k + 1`` distances for each.
+PIVOTS, MOST_PIVOTS, PIVOT_QUERIES = 64, 4096, 1024
+#: Bytes of the queries and of the data, as doubles, that meet in one task at most, about.
+TASK_BYTES = 8 << 20
+#: Scores held at a time within a task.
+SCORES = 1 << 21
 _EXACT = float(1 << 53)
+#: Share of a bound by which rounding may move it, with room to spare.
+_SLACK = 1e-9
 
 
 def integral(vector: Column, scale: float = 256.0) -> Column:
@@ -48,17 +51,20 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _best(queries: pa.Table, data: pa.Table, k: int, size: int) -> pa.Table:
-    """The ``k`` best data rows of each query within one task, ties to the smaller key; a query's own key takes no part."""
+    """The ``k`` best data rows of each query within one task, of those that reach the query's floor, ties to the smaller key.
+
+    A query's own key takes no part.
+    """
     names, at = np.unique(data["vec_id"].to_numpy(), return_inverse=True)
     order = np.argsort(at, kind="stable")
     starts = np.searchsorted(at[order], np.arange(len(names)))
     vectors = _matrix(data["v"].combine_chunks(), size)[order]
-    keys, rows = queries["vec_id"].to_numpy(), _matrix(queries["v"].combine_chunks(), size)
-    found = []
-    for i in range(0, len(keys), RUN):
-        own = keys[i : i + RUN]
-        score = np.maximum.reduceat(_products(rows[i : i + RUN], vectors), starts, axis=1)
-        free = names != own[:, None]
+    keys, rows, floor = queries["vec_id"].to_numpy(), _matrix(queries["v"].combine_chunks(), size), queries["floor"].to_numpy()
+    run, found = max(1, SCORES // max(1, len(vectors))), []
+    for i in range(0, len(keys) if len(names) else 0, run):
+        own = keys[i : i + run]
+        score = np.maximum.reduceat(_products(rows[i : i + run], vectors), starts, axis=1)
+        free = (names != own[:, None]) & (score >= floor[i : i + run, None])
         ranked = np.where(free, score, np.iinfo(np.int64).min)
         if len(names) > k:
             least = np.partition(ranked, len(names) - k, axis=1)[:, len(names) - k]
@@ -74,75 +80,168 @@ def _best(queries: pa.Table, data: pa.Table, k: int, size: int) -> pa.Table:
     return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, parts))))
 
 
-def top_k(data: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, pivots: int = PIVOTS) -> DataFrame:
-    """For each row that ``queries`` marks, the ``k`` other rows of highest inner product: ``query_id``, ``rank``, ``vec_id``, ``score``.
+def _chain(centres: np.ndarray) -> np.ndarray:
+    """The centres in an order in which each is followed by its nearest that is left."""
+    left, order = np.ones(len(centres), bool), [0]
+    left[0] = False
+    while left.any():
+        far = np.where(left, ((centres - centres[order[-1]]) ** 2).sum(axis=1), np.inf)
+        order.append(int(far.argmin()))
+        left[order[-1]] = False
+    return np.array(order)
 
-    Components are first made ``floor(scale * x)``.  Ties go to the smaller key; a query with fewer other rows gets all.
-    Rows whose key is null, or whose vector is null or has a null or non-finite component, take no part.  Missing components of
-    a shorter vector count as zero.  Rows that share a key are one candidate with their best score, and one query likewise.
-    No rows give no rows, and other columns are not read.
 
-    Every row goes to its nearest pivot.  A group's summary is its radius and its ``k + 1`` least distances; they
-    give each query a score that its k-th answer reaches at least, and each group a score that none of its rows can exceed.
-    Queries, the smaller side, are sent only to groups that can hold an answer, and are scored there in blocks.
+@dataclass(frozen=True)
+class Bounds:
+    """The query groups: one for each pivot that is nearest to some query.
+
+    ``floor`` is a score that at least ``k`` other rows reach with every query of the group.  Groups that lie near each other
+    share a ``bundle``, which gets one copy of a data row; a bundle of one large group has its queries in several ``blocks``.
+    """
+
+    centres: np.ndarray
+    radius: np.ndarray
+    floor: np.ndarray
+    bundle: np.ndarray
+    blocks: np.ndarray
+
+    def reached(self, m: np.ndarray) -> np.ndarray:
+        """Row by bundle: whether the row can be among the answers of a query there.
+
+        No query within ``radius`` of a centre scores more with a row than the centre does plus ``radius`` times the row's length.
+        """
+        inner, length = m @ self.centres.T, np.sqrt((m**2).sum(axis=1))[:, None]
+        can = inner + length * self.radius + _SLACK * (1 + np.abs(inner) + length * self.radius) >= self.floor
+        return np.logical_or.reduceat(can, np.flatnonzero(np.r_[True, np.diff(self.bundle) > 0]), axis=1)
+
+    @staticmethod
+    def of(centres: np.ndarray, cells: list[tuple[int, int, float]], close: list[tuple[int, int, float]], k: int, rows: int) -> tuple["Bounds", dict[int, int]]:
+        """From summaries: each query group's ``(pivot, queries, radius)``, and ``(key, pivot, distance)`` of the data groups' nearest rows."""
+        cells = [cells[i] for i in _chain(centres[[c for c, _, _ in cells]])]
+        own = centres[[c for c, _, _ in cells]]
+        radius = np.array([r for _, _, r in cells])
+        names, at = np.unique(np.array([key for key, _, _ in close]), return_inverse=True)
+        pivots, far = centres[[g for _, g, _ in close]], np.array([f for _, _, f in close])
+        reach, floor = np.sqrt((pivots**2).sum(axis=1)) + far, np.full(len(cells), -np.inf)
+        for i, (c, r) in enumerate(zip(own, radius)):
+            if len(names) > k:  # one of the k + 1 best may be the query itself
+                inner, length = pivots @ c, np.sqrt(c @ c)
+                least = inner - length * far - r * reach
+                best = np.full(len(names), -np.inf)
+                np.maximum.at(best, at, least - _SLACK * (1 + np.abs(inner) + length * far + r * reach))
+                floor[i] = np.partition(best, -k - 1)[-k - 1]
+        bundle, held = [], 0
+        for _, n, _ in cells:
+            fresh = not bundle or held + n > rows
+            held = n if fresh else held + n
+            bundle.append((bundle[-1] + 1 if bundle else 0) if fresh else bundle[-1])
+        queries = np.bincount(bundle, [n for _, n, _ in cells]).astype(np.int64)
+        return Bounds(own, radius, floor, np.array(bundle), -(-queries // rows)), {c: i for i, (c, _, _) in enumerate(cells)}
+
+
+def deal(data: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, pivots: int | None = None) -> tuple[DataFrame, DataFrame, int] | None:
+    """The queries and the copies of data rows, each with the ``bundle``, ``block`` and ``part`` in which they meet, and the vectors' width.
+
+    None where there is no query.
     """
     spark = data.sparkSession
     ship(spark)
     rows = data.select(F.col(key).cast("long").alias("vec_id"), F.coalesce(queries, F.lit(False)).alias("asks"), integral(F.col(vector), scale).alias("v")).where("vec_id is not null and v is not null")
-    sizes = rows.agg(F.max(F.size("v")), F.count(F.lit(1)), F.count_if("asks")).head()
-    empty = "query_id long, rank int, vec_id long, score long"
-    if not sizes[2]:
-        return spark.createDataFrame([], empty)
-    size = sizes[0]
-    first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").toArrow()
-    centres = np.unique(_matrix(first["v"].combine_chunks(), size), axis=0)
+    sizes = rows.agg(F.max(F.size("v")), F.count_if("asks")).head()
+    if not sizes[1]:
+        return None
+    size, wanted = sizes[0], pivots or min(MOST_PIVOTS, max(PIVOTS, sizes[1] // PIVOT_QUERIES))
+    first = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(2 * wanted).select("v").toArrow()
+    centres = _matrix(first["v"].combine_chunks(), size)
+    centres = centres[np.sort(np.unique(centres, axis=0, return_index=True)[1])[:wanted]]
+    own = (centres**2).sum(axis=1)
+    step = max(1, SCORES // len(centres))
+    per_task = max(1, TASK_BYTES // (8 * max(1, size)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
             group, far = [], []
-            for a in range(0, batch.num_rows, 4096):
-                m = _matrix(batch.column(2).slice(a, 4096), size)
-                near = np.argmin((centres**2).sum(axis=1) - 2 * m @ centres.T, axis=1)
+            for a in range(0, batch.num_rows, step):
+                m = _matrix(batch.column(2).slice(a, step), size)
+                near = np.argmin(own - 2 * m @ centres.T, axis=1)
                 group.append(near)
                 far.append(np.sqrt(((m - centres[near]) ** 2).sum(axis=1)))
             columns = [pa.array(np.concatenate(x) if x else [], kind) for x, kind in ((group, pa.int64()), (far, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["vec_id", "asks", "v", "group", "far"])
-
-    placed = written(rows.mapInArrow(assign, "vec_id long, asks boolean, v array<double>, group long, far double"), "voronoi")
-    counts = {r["group"]: (r["n"], r["radius"]) for r in placed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}
-    nearest = placed.select("group", "vec_id", "far", F.row_number().over(Window.partitionBy("group").orderBy("far", "vec_id")).alias("n")).where(F.col("n") <= k + 1)
-    close = {r["vec_id"]: (r["group"], r["far"]) for r in nearest.collect()}
-    groups = np.array(sorted(counts))
-    radius = np.array([counts[g][1] for g in groups.tolist()])
-    known = np.array(list(close)), np.array([g for g, _ in close.values()]), np.array([f for _, f in close.values()])
-    blocks = -(-sizes[2] // QUERY_ROWS)
-    parts = np.array([-(-counts[g][0] // DATA_ROWS) for g in groups.tolist()])
+            salt = pa.array(np.arange(seen, seen + batch.num_rows))
+            seen += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, salt], names=["vec_id", "asks", "v", "group", "far", "salt"])
+
+    placed = written(rows.mapInArrow(assign, "vec_id long, asks boolean, v array<double>, group long, far double, salt long"), "voronoi")
+    asked = placed.where("asks").groupBy("vec_id", "v", "group").agg(F.first("far").alias("far"))
+    cells = [tuple(r) for r in asked.groupBy("group").agg(F.count(F.lit(1)), F.max("far")).collect()]
+    by_key = placed.groupBy("group", "vec_id").agg(F.min("far").alias("far"))
+    nearest = by_key.withColumn("n", F.row_number().over(Window.partitionBy("group").orderBy("far", "vec_id"))).where(F.col("n") <= k + 1)
+    bounds, cell_of = Bounds.of(centres, cells, [tuple(r) for r in nearest.select("vec_id", "group", "far").collect()], k, per_task)
+    blocks = bounds.blocks
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(blocks), np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                total += bounds.reached(_matrix(batch.column(0).slice(a, step), size)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["bundle", "n"])
+
+    found = dict(tuple(r) for r in placed.select("v").mapInArrow(tally, "bundle long, n long").groupBy("bundle").agg(F.sum("n")).collect())
+    parts = np.array([max(1, -(-found.get(b, 0) // per_task)) for b in range(len(blocks))])
+
+    def spans(counts: np.ndarray) -> np.ndarray:
+        """0, 1, ... up to each count, one after the other."""
+        return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                keys, m = part.column(0).to_numpy(), _matrix(part.column(1), size)
-                length, inner = np.sqrt((m**2).sum(axis=1))[:, None], m @ centres.T
-                slack = 1e-9 * (1 + np.abs(inner).max() + (length * (radius.max() + 1)).max())
-                least = inner[:, known[1]] - length * known[2]
-                least[known[0] == keys[:, None]] = -np.inf
-                floor = np.partition(least, -k, axis=1)[:, -k] if least.shape[1] >= k else np.full(len(keys), -np.inf)
-                q, g = np.nonzero(inner[:, groups] + length * radius + slack >= floor[:, None] - slack)
-                q, g, c = np.repeat(q, parts[g]), np.repeat(g, parts[g]), np.concatenate([np.arange(n) for n in parts[g]]) if len(g) else np.zeros(0, np.int64)
-                taken = part.take(pa.array(q))
-                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(groups[g]), pa.array(c, pa.int64())], names=["vec_id", "v", "group", "part"])
-
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    visits = placed.where("asks").select("vec_id", "v").mapInArrow(visit, "vec_id long, v array<double>, group long, part long").withColumn("block", block)
-    cut = F.element_at(F.create_map(*[F.lit(x) for g, p in zip(groups.tolist(), parts.tolist()) for x in (g, p)]), F.col("group"))
-    dealt = placed.select("vec_id", "v", "group", F.pmod(F.xxhash64("vec_id"), cut).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    on = ["group", "part", "block"]
+            cell = np.array([cell_of[g] for g in batch.column(2).to_pylist()], np.int64)
+            bundle = bounds.bundle[cell]
+            block, copies = batch.column(3).to_numpy() % blocks[bundle], parts[bundle]
+            taken = batch.take(pa.array(np.repeat(np.arange(len(cell)), copies)))
+            added = [np.repeat(x, copies) for x in (bounds.floor[cell], bundle, block)]
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *map(pa.array, [*added, spans(copies)])], names=["vec_id", "v", "floor", "bundle", "block", "part"])
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                some = batch.slice(a, step)
+                row, bundle = np.nonzero(bounds.reached(_matrix(some.column(1), size)))
+                copies, part = blocks[bundle], some.column(2).to_numpy()[row] % parts[bundle]
+                taken = some.take(pa.array(np.repeat(row, copies)))
+                added = [np.repeat(bundle, copies), spans(copies), np.repeat(part, copies)]
+                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *map(pa.array, added)], names=["vec_id", "v", "bundle", "block", "part"])
+
+    salted = asked.select("vec_id", "v", "group", F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40)).alias("salt"))
+    meet = "bundle long, block long, part long"
+    visits = salted.mapInArrow(visit, f"vec_id long, v array<double>, floor double, {meet}")
+    return visits, placed.select("vec_id", "v", "salt").mapInArrow(replicate, f"vec_id long, v array<double>, {meet}"), size
+
+
+def top_k(data: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, pivots: int | None = None) -> DataFrame:
+    """For each row that ``queries`` marks, the ``k`` other rows of highest inner product: ``query_id``, ``rank``, ``vec_id``, ``score``.
+
+    Components are first made ``floor(scale * x)``.  Ties go to the smaller key; a query with fewer other rows gets all.
+    Rows whose key is null, or whose vector is null or has a null or non-finite component, take no part.  Missing components of
+    a shorter vector count as zero.  Rows that share a key are one candidate with their best score, and one query likewise.
+    No rows give no rows, and other columns are not read.  Products beyond 2**53 are exact too, at the pace of Python's integers.
+
+    Queries and data both go to their nearest pivot.  A data group's summary is its ``k + 1`` least distances, a query group's
+    its radius; they give each query group a score that its queries' k-th answers reach at least.  A data row is copied only to the
+    query groups where it can reach that, and is scored there in blocks.  Neighbouring small query groups share a copy.
+    Where vectors form no clusters every row reaches every group, and work is queries times rows, as it must be.
+    """
+    dealt = deal(data, queries, k, key, vector, scale, pivots)
+    if dealt is None:
+        return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    visits, copies, size = dealt
+    on = ["bundle", "block", "part"]
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _best(left, right, k, size) if len(left) and len(right) else _best(left.slice(0, 0), left.slice(0, 0), k, size)
+        return _best(left, right if len(right) else left.select(["vec_id", "v"]).slice(0, 0), k, size) if len(left) else _best(right.slice(0, 0).append_column("floor", pa.array([], pa.float64())), right.slice(0, 0), k, size)
 
-    local = visits.groupBy(*on).cogroup(dealt.withColumn("block", F.col("block").cast("long")).groupBy(*on)).applyInArrow(solve, "query_id long, vec_id long, score long")
+    local = visits.groupBy(*on).cogroup(copies.groupBy(*on)).applyInArrow(solve, "query_id long, vec_id long, score long")
     best = local.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
