@@ -146,6 +146,30 @@ def test_licences(spark, documents, rows):
     assert licenses.scan_licenses(table.where("false")).count() == 0
 
 
+def test_edited_licence_texts(spark):
+    """Full texts with one word in fifteen changed: found as long as the mandatory phrases stand, and scored by what is left."""
+    rng = np.random.default_rng(3)
+    long = [t for t in licenses.MORE if len(t.words) >= 30]
+    rows = []
+    for n, t in enumerate(long):
+        for copy in range(30):
+            words = [w if rng.random() > 1 / 15 else "changed" for w in t.words]
+            rows.append((n * 100 + copy, " ".join(["before"] * int(rng.integers(0, 50)) + words + ["behind"] * int(rng.integers(0, 9)))))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {k: tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) for k, r in got.items()} == {k: slow_licences(x) for k, x in rows}
+    recall = np.mean([long[k // 100].label in r["labels"].split(",") for k, r in got.items()])
+    assert recall > 0.4  # a phrase of ten words is left whole with a chance of 0.93 ** 10, which is 0.5
+
+
+def test_the_plan_does_not_follow_the_templates(spark, documents):
+    many = licenses.MORE + tuple(licenses.Template.of(f"own-{i}", f"alpha beta{i} gamma{i % 7} delta licence", f"beta{i} gamma{i % 7}") for i in range(300))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("lambda")
+    wide = licenses.scan_licenses(documents, many)
+    assert plan(wide) == plan(licenses.scan_licenses(documents))
+    extra = spark.createDataFrame([(1, "Alpha beta17 gamma3, delta licence"), (2, "beta299 gamma5 x"), (3, "beta299 gamma4")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(extra, many).collect()} == {1: ("own-17", 1.0), 2: ("own-299", 0.4), 3: ("", 0.0)}
+
+
 def test_pairs_are_summed_in_linear_time():
     rng = np.random.default_rng(0)
     rows = quality.features(pa.array(["one two two three", "", None, "a\nb\nb"]), np.array([3.0, np.nan, 0.0, -1.0]))

@@ -99,7 +99,7 @@ def licenses_sql() -> str:
         own = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{every[n].label}' END" for n in which)
         return f"array_to_string(list_sort(list_distinct([{own}])), ',')"
 
-    shares = ", ".join("coalesce(list_max(list_transform(p%d, lambda s: (%s) / %d.0)), 0)" % (n, " + ".join(f"(CASE WHEN s + {i} >= 0 AND w[s + {i + 1}] = '{x}' THEN 1 ELSE 0 END)" for i, x in enumerate(t.words)), len(t.words)) for n, t in enumerate(every))
+    shares = ", ".join(f"coalesce(list_max(list_transform(p{n}, lambda s: len(list_filter(range({len(t.words)}), lambda i: s + i >= 0 AND w[s + i + 1] = {list(t.words)}[i + 1])) / {len(t.words)}.0)), 0)" for n, t in enumerate(every))
     return f"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
