@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalog.views import ROUND_SIZE, SCALE, Views, number, packed, pixels, r6, raw_curves, weight, write_archives
+from catalog.views import ROUND_SIZE, SCALE, Views, archive_rows, number, packed, pixels, r6, weight
 from tracesieve.functions import images, labels
 from tracesieve.functions.geometry import midpoint_normal, signed_projection
 from tracesieve.functions.kernels import SCALES, kernel, kernel_means
@@ -17,6 +17,7 @@ from tracesieve.plans.discovery import discover, novelty_table
 from tracesieve.plans.screening import Settings, screen
 from tracesieve.session import ship, work_path
 from tracesieve.sinks.models import load_model, save_model
+from tracesieve.sinks.archives import export_archives
 from tracesieve.sinks.tables import export_rounds, export_run
 from tracesieve.sources.archives import ingest_archives
 from tracesieve.sources.curves import load_curves
@@ -61,9 +62,7 @@ def load_curves_query(v: Views) -> DataFrame:
 @query
 def ingest_array_archives(v: Views) -> DataFrame:
     folder = work_path(v.spark, "archives")
-    px = pixels(v.spark, v.sf).select("curve_id", "px")
-    rows = raw_curves(v.spark, v.sf).withColumn("y_file", F.pmod(F.col("y_raw") + 3, F.lit(4))).drop("y_raw").join(px, "curve_id")
-    write_archives(rows, folder.removeprefix("file:"))
+    export_archives(archive_rows(v.spark, v.sf), folder)
     got = ingest_archives(v.spark, f"{folder}/*.npz", "experiment")
     return got.select(
         "curve_id",

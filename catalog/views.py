@@ -8,12 +8,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracesieve.functions.hashing import hash_order
 from tracesieve.operators.ranking import hash_cut
 from tracesieve.operators.selection import Split, build_test_set, head_split, train_val_split
+from tracesieve.sources.curves import SAMPLE
 
 ROUND_SIZE = 50
 SCALE = 8.0
@@ -61,29 +61,14 @@ def packed(df: DataFrame) -> DataFrame:
     return df.withColumn("image", image)
 
 
-def write_archives(df: DataFrame, folder: str) -> None:
-    """One .npz archive per range of keys, written by the tasks that hold the range."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-
-    def write(batches):
-        import pandas as pd
-
-        frames = [b for b in batches if len(b)]
-        if frames:
-            d = pd.concat(frames)
-            v = np.stack(d["embedding"].to_numpy()).astype(np.float64)
-            px = np.stack(d["px"].to_numpy()).astype(np.uint8)
-            name = f"{folder}/Experiment-{int(d['curve_id'].iloc[0]):012d}.npz"
-            np.savez(
-                name, x_raw=v.reshape(len(d), 16, 4), y_raw=d["y_file"].to_numpy().reshape(-1, 1),
-                x_1D_processed=v[:, :, None], x_2D_processed=px.reshape(len(d), 8, 8),
-            )
-            yield pd.DataFrame({"name": [name], "n": [len(d)]})
-
-    ranged = df.repartitionByRange(4, "curve_id").sortWithinPartitions("curve_id")
-    ranged.mapInPandas(write, "name string, n long").count()
+def archive_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that array archives hold: labels as stored, 16 samples of four channels, a flat trace, an image."""
+    value = lambda i: F.get("embedding", i).cast("double")
+    samples = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(*[value(4 * i + c).alias(f.name) for c, f in enumerate(SAMPLE.fields)]))
+    stored = F.pmod(F.col("y_raw") + 3, F.lit(4)).cast("int")
+    images = packed(pixels(spark, sf)).select("curve_id", "image")
+    rows = raw_curves(spark, sf).select("curve_id", stored.alias("y_file"), samples.alias("x_raw"), F.col("embedding").cast("array<double>").alias("x_1d"))
+    return rows.join(images, "curve_id")
 
 
 @dataclass

@@ -6,6 +6,7 @@ from tracesieve.functions.geometry import signed_projection
 from tracesieve.functions.labels import half_plane, recode_labels
 from tracesieve.functions.images import tensor
 from tracesieve.session import shared_folder
+from tracesieve.sinks.archives import export_archives
 from tracesieve.sources.archives import ingest_archives
 from tracesieve.sources.curves import load_curves, reject_invalid
 from tracesieve.sources.features import featurize
@@ -45,6 +46,27 @@ def test_ingest_stub_arrays_and_simulation_labels(spark, tmp_path):
     assert all(r["x_raw"] is None and r["x_1d"] is None for r in got)
 
 
+def test_exported_archives_are_read_back(spark, tmp_path):
+    """Bounded archives, also where one key has most of the rows; positions are keys again in key order."""
+    rows = [(i if i % 3 else 40, i % 4, [(float(i), 1.0, 2.0, float(k)) for k in range(5)], [i / 7.0] * 6, (2, 3, bytes([i % 256] * 6))) for i in range(100)]
+    table = spark.createDataFrame(rows, "curve_id long, y_file int, x_raw array<struct<time:double,force:double,tip_position:double,contour_length:double>>, x_1d array<double>, image struct<height:int,width:int,data:binary>")
+    made = export_archives(table.repartition(4), str(tmp_path / "out"), archive_rows=16).collect()
+    assert sum(r["n"] for r in made) == 100 and max(r["n"] for r in made) <= 16 and not list((tmp_path / "out").glob("_*"))
+    got = ingest_archives(spark, f"{tmp_path}/out/*.npz", "simulation").orderBy("curve_id").collect()
+    key = lambda r: (r[1], [tuple(x) for x in r[2]], r[3], (r[4][0], r[4][1], bytes(r[4][2])))
+    assert [r["curve_id"] for r in got] == list(range(100))
+    assert sorted(map(key, got)) == sorted(map(key, rows))
+    firsts = [r["x_raw"][0]["time"] for r in got]
+    keys = [int(f) if int(f) % 3 else 40 for f in firsts]
+    assert keys == sorted(keys)
+    stubs = table.withColumn("x_raw", F.lit(None).cast(table.schema["x_raw"].dataType)).withColumn("x_1d", F.lit(None).cast("array<double>"))
+    export_archives(stubs, str(tmp_path / "stub"))
+    assert all(r["x_raw"] is None and r["x_1d"] is None for r in ingest_archives(spark, f"{tmp_path}/stub/*.npz", "simulation").collect())
+    assert export_archives(table.where("false"), str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="different lengths"):
+        export_archives(table.withColumn("x_1d", F.slice("x_1d", 1, F.col("y_file") + 1)), str(tmp_path / "bad"))
+
+
 def test_ingest_refuses_pickled_objects(spark, tmp_path):
     arrays = archive(tmp_path / "o.npz", 2)
     arrays["x_raw"] = np.array([[None], [{}]], dtype=object)
