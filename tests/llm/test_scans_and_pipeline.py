@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracesieve.llm import licenses, quality, secrets
+from tracesieve.llm import batches, licenses, quality, secrets
 
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -198,6 +198,42 @@ def test_quality_on_held_out_rows(spark):
     assert np.array_equal(model.weights, again.weights)  # neither held-out labels nor lang and source are inputs
 
 
+def test_quality_fit_is_bounded_in_bytes(spark):
+    """The fit takes the first rows by the hash of their key whose features are within the bound; with none it knows nothing."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    few = quality.train(docs, labels, sample=20)
+    read = quality._read(docs).join(labels.where(~quality.held_out()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).toPandas()
+    sizes = [8 * len(quality.features(pa.array([t]), np.array([n])).at) for t, n in zip(read["text"], read["stated"])]
+    whole = quality.train(docs, labels, most_bytes=sum(sizes))
+    assert np.array_equal(few.weights, whole.weights) and few.weights.any()
+    assert not np.array_equal(few.weights, quality.train(docs, labels, most_bytes=sum(sizes) - 1).weights)
+    nothing = quality.train(docs, labels, most_bytes=0)
+    assert {r["score"] for r in quality.score(docs, nothing).collect()} == {0.5}
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Long texts come in small batches; the caller's number of rows and own bound stay."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, rows = spark.conf.get(setting), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    table = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+    try:
+        spark.conf.unset(setting)
+        batches.text_batches(table)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
+
+        def sizes(parts):
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([part.nbytes])], names=["n"])
+
+        assert max(r["n"] for r in table.mapInArrow(sizes, "n long").collect()) < 2 * batches.BYTES
+        spark.conf.set(setting, "123456789b")
+        batches.text_batches(table)
+        assert spark.conf.get(setting) == "123456789b"
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_quality_of_odd_rows(spark, documents):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (3, None, 0), (4, 7, 0), (9001, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.where("false")):

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 
 from tracesieve.session import ship
 
-#: Rows of a batch of documents or pages, unless the session sets another number than Spark's own.
-ROWS = 2000
-_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Bytes of a batch of documents or pages, about, unless the session sets another number than Spark's own.  One longer text is a batch alone.
+BYTES = 4 << 20
+_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def text_batches(texts: DataFrame) -> None:
-    """Make the package importable in workers, and batches short: texts are long, and memory follows a batch's bytes."""
+    """Make the package importable in workers, and batches small: memory follows a batch's bytes, whatever the lengths of its texts.
+
+    Results are lazy, so the bound stays set in the session for as long as they may be read.  It changes no result, leaves the
+    number of rows in a batch alone, and gives way to a bound that the caller has set.
+    """
     spark = texts.sparkSession
     ship(spark)
-    if spark.conf.get(_SETTING, _DEFAULT) == _DEFAULT:
-        spark.conf.set(_SETTING, str(ROWS))
+    if spark.conf.get(_SETTING) == _DEFAULT:
+        spark.conf.set(_SETTING, str(BYTES))

@@ -12,10 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tracesieve.llm.batches import text_batches
-
+from tracesieve.session import written
 
 #: Labelled rows that a model is fitted on at most, the first by a hash of their key: the bound of the fit.
 SAMPLE = 6000
+#: Bytes of their features that the driver fits on at most: rows beyond are left out of the fit.
+SAMPLE_BYTES = 96 << 20
 #: Buckets of hashed words.
 WORDS = 1 << 16
 FACTORS = 4
@@ -138,7 +140,7 @@ def fit(rows: Rows, labels: np.ndarray, epochs: int = 12, batch: int = 128, rate
     rng = np.random.default_rng(seed)
     model = FactorisationMachine(0.0, np.zeros(_SIZE, np.float32), rng.normal(0, 0.02, (_SIZE, FACTORS)).astype(np.float32))
     if not len(labels):
-        return model
+        return FactorisationMachine(0.0, model.weights, np.zeros_like(model.factors))
     model.bias = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     seen_w, seen_v, seen_b = np.full(_SIZE, 1e-3, np.float32), np.full((_SIZE, FACTORS), 1e-3, np.float32), 1e-3
     for _ in range(epochs):
@@ -177,18 +179,42 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), stated.alias("stated"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorisationMachine:
-    """Fit on at most ``sample`` labelled rows that are not held out.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> FactorisationMachine:
+    """Fit on at most ``sample`` labelled rows that are not held out, and at most ``most_bytes`` of their features.
 
     Labels other than 0 and 1, and keys that are null or have both labels, are left out; a key that several documents share gives
-    each of them its label.  Without labelled rows every score is 0.5.
+    each of them its label.  Without labelled rows every score is 0.5.  Features are made in tasks, and no text reaches the driver.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").where(~held_out())
     one = known.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "quality")
-    rows = _read(docs).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).toPandas()
-    found = list(sliced(pa.array(rows["text"], pa.large_string()), rows["stated"].to_numpy(np.float64)))
-    return fit(joined(found), rows["quality"].to_numpy(np.float64))
+    rows = _read(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", "stated", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    order = [F.xxhash64("doc_id"), "doc_id", "digest", "stated"]
+    first = written(_encoded(rows), "quality-sample")
+    cut = first.select(*order[1:], F.length("at").alias("n")).orderBy(*order).limit(sample).toArrow()
+    fits = np.cumsum(2 * cut["n"].to_numpy().astype(np.int64)) <= most_bytes  # the values are as long as the places
+    table = first.orderBy(*order).limit(int(fits.sum())).select("quality", "at", "values").toArrow()
+    at, values = ([np.frombuffer(x, kind) for x in table[name].to_pylist()] for name, kind in (("at", "<i4"), ("values", "<f4")))
+    cuts = np.concatenate(([0], np.cumsum([len(x) for x in at]))).astype(np.int64)
+    flat = Rows(cuts, *[np.concatenate([np.zeros(0, kind), *parts]) for parts, kind in ((at, np.int32), (values, np.float32))])
+    return fit(flat, table["quality"].to_numpy().astype(np.float64))
+
+
+def _encoded(rows: DataFrame) -> DataFrame:
+    """``text`` as its features: places and values, four bytes each."""
+    text_batches(rows)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, at = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64), 0
+            for found in sliced(batch.column(2).cast(pa.large_string()), sizes):
+                n, ends = len(found.cuts) - 1, found.cuts.tolist()
+                own = [pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()) for x in (found.at.astype("<i4"), found.values.astype("<f4"))]
+                kept = batch.slice(at, n)
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(3), kept.column(4), *own], names=["doc_id", "quality", "stated", "digest", "at", "values"])
+                at += n
+
+    return rows.mapInArrow(encode, "doc_id long, quality int, stated double, digest string, at binary, values binary")
 
 
 def _scorer(docs: DataFrame, model: FactorisationMachine) -> Callable[[pa.Array, pa.Array | None], np.ndarray]:
@@ -208,6 +234,7 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     """Per row ``doc_id`` and ``score``, how likely label 1 is.
 
     Only ``text`` and, where there is one, ``n_chars`` are inputs of a score; null and empty texts are scored as empty.
+    Repeated rows each get their score; no rows give none.
     """
     scores = _scorer(docs, model)
 
@@ -219,7 +246,7 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``, with their columns as they are."""
+    """The rows of ``docs`` whose score is at least ``threshold``, with their columns as they are; repeated rows are kept or go together."""
     scores = _scorer(docs, train(docs, labels, sample))
     text, stated = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
