@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from tracesieve.session import ship
 
 #: Bytes of a batch of documents or pages, about, unless the session sets another number than Spark's own.  One longer text is a batch alone.
-BYTES = 4 << 20
+BYTES = 6 << 20
 _SETTING, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 

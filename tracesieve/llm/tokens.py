@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 
 #: Vocabulary file of ``public_tokenizers``; every function takes another path.
 VOCABULARY = "word_bpe_49k.json"
-#: Words, and parts of words, kept by one worker process; beyond it the memory is emptied and refilled.  It changes no result.
-MEMORY = 250_000
+#: Words, and parts of words, that are new before a worker process forgets those it has not met since as many before.  It changes no result.
+MEMORY = 200_000
 #: Bytes of text encoded at a time.
 SLICE = 6 << 20
 
@@ -36,6 +36,26 @@ def vocabulary_path(path: str | None = None) -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+class Recent:
+    """Values of keys in two generations: what is asked for moves to the young one, and a full young one replaces the old one."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+    def turn(self) -> None:
+        """Forget, if the young generation is full."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+
 class WordEncoder:
     """Ids of texts for a byte-level vocabulary that lower-cases and drops white space.
 
@@ -49,8 +69,7 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(MEMORY), Recent(MEMORY)
         # The byte-level alphabet: bytes that print stand for themselves, the others are numbered from 256.
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
         self.alphabet = {b: chr(256 + n) for n, b in enumerate(hidden)}
@@ -62,23 +81,23 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.words) > MEMORY:
-            self.words = {"": b""}
-        if len(self.pieces) > MEMORY:
-            self.pieces = {}
+        self.words.turn()
+        self.pieces.turn()
+        words, known, tokenized = self.words.young, self.pieces.get, self.pieces.young
         if _ODD.search("\n".join(new)):
             odd = [w for w in new if _ODD.search(w)]
             new = new.difference(odd)
             for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
-                self.words[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        words, known, piece = self.words, self.pieces, self._piece
+                words[w] = np.asarray(e.ids, dtype="<u4").tobytes()
         for w in new:
             low = w.lower()
-            parts = (low,) if low.isalpha() else _PIECE.findall(low)
-            for p in parts:
-                if p not in known:
-                    known[p] = piece(p)
-            words[w] = known[low] if len(parts) == 1 else b"".join([known[p] for p in parts])
+            found = []
+            for p in (low,) if low.isalpha() else _PIECE.findall(low):
+                ids = known(p)
+                if ids is None:
+                    ids = tokenized[p] = self._piece(p)
+                found.append(ids)
+            words[w] = found[0] if len(found) == 1 else b"".join(found)
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts in order: their ids in a row, and how many each has.  A null text has none."""
@@ -96,11 +115,14 @@ class WordEncoder:
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
         distinct = coded.dictionary.to_numpy(zero_copy_only=False)
-        got = list(map(self.words.get, distinct))
+        got = list(map(self.words.young.get, distinct))
         if None in got:
-            self._learn({w for w, x in zip(distinct, got) if x is None})
-            known = self.words
-            got = [known[w] if x is None else x for w, x in zip(distinct, got)]
+            missing = {w: self.words.get(w) for w, x in zip(distinct, got) if x is None}
+            self._learn({w for w, x in missing.items() if x is None})
+            known = self.words.young
+            for w, x in missing.items():
+                missing[w] = known[w] if x is None else x
+            got = [missing[w] if x is None else x for w, x in zip(distinct, got)]
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
         ids = np.frombuffer(b"".join(got), dtype="<u4")
         starts = np.cumsum(lengths) - lengths
