@@ -1,4 +1,7 @@
+import io
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation, functions as F
 
@@ -7,6 +10,7 @@ from tracesieve.functions.labels import half_plane, recode_labels
 from tracesieve.functions.images import tensor
 from tracesieve.session import shared_folder
 from tracesieve.sinks.archives import export_archives
+from tracesieve.sources import archives
 from tracesieve.sources.archives import ingest_archives
 from tracesieve.sources.curves import load_curves, reject_invalid
 from tracesieve.sources.features import featurize
@@ -39,6 +43,44 @@ def test_ingest(spark, tmp_path, save):
         assert (r["image"]["height"], r["image"]["width"]) == image.shape and bytes(r["image"]["data"]) == image.tobytes()
 
 
+class Counted(io.FileIO):
+    """A file that counts what is read of it."""
+
+    read_bytes = 0
+
+    def read(self, size=-1):
+        got = super().read(size)
+        Counted.read_bytes += len(got)
+        return got
+
+
+def test_compressed_bytes_are_inflated_once(tmp_path, monkeypatch):
+    """One archive of two hundred ranges: the file is read once, but for its directory, and memory follows a range."""
+    arrays = archive(tmp_path / "big.npz", 2000, np.savez_compressed)
+    size = (tmp_path / "big.npz").stat().st_size
+    monkeypatch.setattr(archives, "_open", lambda path: Counted(path, "rb"))
+    task = pa.RecordBatch.from_pydict({"path": [str(tmp_path / "big.npz")], "n_rows": [2000], "step": [10], "first_id": [5]})
+    Counted.read_bytes = 0
+    made = list(archives._inflated([task]))
+    assert [b.num_rows for b in made] == [10] * 200 and size <= Counted.read_bytes < 1.1 * size
+    table = pa.Table.from_batches(made)
+    assert table["curve_id"].to_pylist() == list(range(5, 2005))
+    assert table["y_file"].to_pylist() == arrays["y_raw"].ravel().tolist()
+    assert np.array_equal(table["x_1d"].combine_chunks().flatten().to_numpy(), arrays["x_1D_processed"].ravel())
+
+
+def test_stored_and_compressed_archives_together(spark, tmp_path):
+    """Keys follow path order over both kinds; the rows of the inflated ones are read from the shared folder."""
+    parts = [archive(tmp_path / f"{name}.npz", n, save) for name, n, save in (("a", 7, np.savez_compressed), ("b", 9, np.savez), ("c", 4, np.savez_compressed))]
+    got = ingest_archives(spark, str(tmp_path / "*.npz"), "simulation", chunk_bytes=700)
+    for name in "ac":
+        (tmp_path / f"{name}.npz").unlink()
+    rows = got.orderBy("curve_id").collect()
+    assert [r["curve_id"] for r in rows] == list(range(20))
+    assert [r["y_raw"] for r in rows] == np.concatenate([p["y_raw"] for p in parts]).ravel().tolist()
+    assert np.allclose([r["x_1d"] for r in rows], np.concatenate([p["x_1D_processed"] for p in parts])[:, :, 0])
+
+
 def test_ingest_stub_arrays_and_simulation_labels(spark, tmp_path):
     arrays = archive(tmp_path / "s.npz", 3, stub=True)
     got = ingest_archives(spark, str(tmp_path / "s.npz"), "simulation").orderBy("curve_id").collect()
