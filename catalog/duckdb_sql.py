@@ -202,8 +202,12 @@ SQL: dict[str, str] = {
     "feature_from_images": f"""
         SELECT curve_id, {', '.join(f"len(list_filter(r, lambda p: ((255 - p) / 255.0::DOUBLE - {m}) > 0))::DOUBLE AS f{i}" for i, m in enumerate(MEANS))}
         FROM (SELECT curve_id, {RESIZED} AS r FROM curves)""",
-    "export_run": """
-        SELECT curve_id, y_raw, 'pool' AS part FROM pool UNION ALL SELECT curve_id, y_raw, 'test' AS part FROM test""",
+    "export_run": f"""
+        SELECT 'curves' AS part_of_run, curve_id, y_raw::VARCHAR AS said, y::DOUBLE AS value FROM curves
+        UNION ALL SELECT 'features', curve_id, len(x)::VARCHAR, {r6('list_sum(x) / len(x)')} FROM curves
+        UNION ALL SELECT 'split', curve_id, 'pool ' || y_raw, NULL FROM pool
+        UNION ALL SELECT 'split', curve_id, 'test ' || y_raw, NULL FROM test
+        UNION ALL SELECT 'distances', t.curve_id, count(*) || ' ' || any_value(t.y_raw), {r6(f"avg({dist('t', 's')})")} FROM test t, screened s GROUP BY t.curve_id""",
     "export_rounds": f"""
         SELECT r.round, r.curve_id, r.y_raw, (p.pred = 1) AS predicted_good, {r6('e0')} AS e0, {r6('e1')} AS e1
         FROM (SELECT curve_id, y_raw, ceil(rk / 50.0)::BIGINT AS round FROM pool) r JOIN plane p USING (curve_id)""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -99,7 +100,17 @@ def export_run_query(v: Views) -> DataFrame:
         "split": split,
         "distances": distance.anchor_features(v.test, v.screened, keep=["y_raw"]),
     }
-    return v.spark.read.parquet(export_run(tables, work_path(v.spark, "run"))["split"])
+    paths = export_run(tables, work_path(v.spark, "run"))
+    read = {name: v.spark.read.parquet(path) for name, path in paths.items()}
+    total = lambda c: r6(F.aggregate(c, F.lit(0.0), lambda s, a: s + a) / F.size(c))
+    rows = {
+        "curves": (F.col("y_raw").cast("string"), F.col("y").cast("double")),
+        "features": (F.size("x").cast("string"), total("x")),
+        "split": (F.concat_ws(" ", "part", "y_raw"), F.lit(None).cast("double")),
+        "distances": (F.concat_ws(" ", F.size("features"), "y_raw"), total("features")),
+    }
+    parts = [read[name].select(F.lit(name).alias("part_of_run"), "curve_id", said.alias("said"), value.alias("value")) for name, (said, value) in rows.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query

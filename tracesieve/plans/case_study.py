@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +18,7 @@ from tracesieve.plans.screening import Screening, Settings, screen
 from tracesieve.session import written
 from tracesieve.sinks.models import save_model
 from tracesieve.sinks.tables import export_rounds, export_run
-from tracesieve.sources.curves import CURVES, TEST_TABLES, dataset_table, invalid, load_curves
+from tracesieve.sources.curves import CURVES, TEST_TABLES, dataset_table, load_curves, rejections
 from tracesieve.sources.features import featurize
 
 
@@ -41,6 +43,8 @@ def run_case_study(
 ) -> Screening:
     """Screen a stored dataset; write everything under ``export_path`` if given.
 
+    Rows that are rejected at load are always counted, in ``rejected`` of the result, and warned of.
+
     ``export_distances`` adds the full pool x pool and test x pool matrices, quadratic in the
     pool; nothing else needs them.
     """
@@ -49,31 +53,29 @@ def run_case_study(
         pool, test = simulation(curves, with_vectors(spark, path, dataset, True, make_model, size))
     else:
         pool, test = experiment(curves, pool_size)
-    run = screen(pool, test, settings)
+    counts = rejections(spark, path, dataset).collect()  # a row for each table
+    for source, n_read, n_rejected in counts:
+        if n_rejected:
+            warnings.warn(f"{n_rejected} of {n_read} rows of {source} have no key, label or finite vector and are left out", stacklevel=2)
+    run = replace(screen(pool, test, settings), rejected={source: (n_read, n_rejected) for source, n_read, n_rejected in counts})
     if export_path:
         export_case_study(run, pool, test, export_path, settings, export_distances)
         export_raw(spark, path, dataset, pool, test, export_path)
+        spark.createDataFrame(counts, "source string, n_read long, n_rejected long").write.mode("overwrite").parquet(f"{export_path.rstrip('/')}/general/rejected")
     return run
 
 
 def export_raw(spark: SparkSession, path: str, dataset: str, pool: DataFrame, test: DataFrame, export_path: str) -> None:
-    """The stored arrays and images of pool and test, fetched by key from the curve tables, and how many rows were rejected.
+    """The stored arrays and images of pool and test, fetched by key from the curve tables.
 
     The arrays are joined here once and are never carried through the rounds.
     """
     stored = [f.name for f in CURVES.fields if f.name not in ("x", "y_raw")]
     own_test = dataset.lower() in TEST_TABLES
-    counts = []
     for part, rows in (("pool", pool), ("test", test)):
-        table = f"{path.rstrip('/')}/{dataset_table(dataset, own_test and part == 'test')}"
-        whole = spark.read.parquet(table)
+        whole = spark.read.parquet(f"{path.rstrip('/')}/{dataset_table(dataset, own_test and part == 'test')}")
         have = [c for c in stored if c in whole.columns]
         whole.select(have).join(rows.select(KEY), KEY, "left_semi").write.mode("overwrite").parquet(f"{export_path.rstrip('/')}/general/raw_{part}")
-        if part == "pool" or own_test:
-            vector = VEC if VEC in whole.columns else None
-            n = whole.agg(F.count(F.lit(1)), F.count_if(invalid(vector=vector))).first()
-            counts.append((table, n[0], n[1]))
-    spark.createDataFrame(counts, "source string, n_read long, n_rejected long").write.mode("overwrite").parquet(f"{export_path.rstrip('/')}/general/rejected")
 
 
 def export_case_study(run: Screening, pool: DataFrame, test: DataFrame, path: str, settings: Settings, distances: bool = False) -> None:

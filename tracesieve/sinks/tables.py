@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-#: Files that the rows of one round may be spread over.
-ROUND_FILES = 4
+from pyspark.sql import DataFrame
 
 
 def export_run(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
@@ -18,8 +15,10 @@ def export_run(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
 
 
 def export_rounds(tables: dict[str, DataFrame], path: str, flat: tuple[str, ...] = ()) -> dict[str, str]:
-    """Write per-round tables (each with a ``round`` column) partitioned by round, at most ``ROUND_FILES`` files a round.
+    """Write per-round tables (each with a ``round`` column) partitioned by round.
 
+    Rows are brought together by round, and adaptive execution cuts a round that is larger than its advisory partition size
+    into as many tasks and files as it fills, and lets small rounds share a task.
     Tables named in ``flat`` have a few rows for each round and are written as they are.
     """
     out = {}
@@ -27,7 +26,6 @@ def export_rounds(tables: dict[str, DataFrame], path: str, flat: tuple[str, ...]
         out[name] = f"{path.rstrip('/')}/{name}"
         if name in flat:
             df.write.mode("overwrite").parquet(out[name])
-            continue
-        salt = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(ROUND_FILES))
-        df.withColumn("_salt", salt).repartition("round", "_salt").drop("_salt").write.mode("overwrite").partitionBy("round").parquet(out[name])
+        else:
+            df.hint("rebalance", "round").write.mode("overwrite").partitionBy("round").parquet(out[name])
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 SAMPLE = T.StructType(
@@ -44,6 +46,17 @@ def reject_invalid(
     return df.where(~bad)
 
 
+def rejections(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """``source, n_read, n_rejected`` of each table that a dataset is loaded from, as stored: one pass over keys, labels and vectors."""
+    found = []
+    for test in (False, True)[: 1 + (dataset.lower() in TEST_TABLES)]:
+        table = f"{path.rstrip('/')}/{dataset_table(dataset, test)}"
+        rows = spark.read.parquet(table)
+        bad = F.count_if(invalid(vector="x" if "x" in rows.columns else None))
+        found.append(rows.agg(F.lit(table).alias("source"), F.count(F.lit(1)).alias("n_read"), bad.alias("n_rejected")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def dataset_table(dataset: str, test: bool = False) -> str:
     name = dataset.lower()
     if name not in TABLES:
