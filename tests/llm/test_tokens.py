@@ -39,8 +39,8 @@ def test_any_text_encodes_as_the_library_does(texts):
 
 
 def test_memory_limit_changes_nothing(monkeypatch):
-    monkeypatch.setattr("tracesieve.llm.tokens.MEMORY", 3)
-    own, texts = WordEncoder(vocabulary_path()), ["one two three four", "five six, seven", "one eight nine"]
+    monkeypatch.setattr("tracesieve.llm.tokens.PARTS", 3)
+    own, texts = WordEncoder(vocabulary_path(), 3), ["one two three four", "five six, seven", "one eight nine", "", "one  two", "\x00 one"]
     got = [ids.tolist() for t in texts for ids, _ in own.encode(pa.array([t]))]
     assert got == [ids_of(t) for t in texts]
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tracesieve.llm.batches import text_batches
-from tracesieve.llm.tokens import encoder, vocabulary_path
+from tracesieve.llm.tokens import SMALL_MEMORY, encoder, vocabulary_path
 from tracesieve.session import written
 
 WINDOW = 4096
@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
     path = vocabulary_path(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end = encoder(path), np.array([end_id], dtype="<u4")
+        tool, end = encoder(path, SMALL_MEMORY), np.array([end_id], dtype="<u4")
         for batch in batches:
             keys, row = batch.column(0), 0
             for ids, counts in tool.encode(batch.column(1)):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tracesieve.llm.batches import text_batches
-from tracesieve.llm.tokens import encoder, vocabulary_path
+from tracesieve.llm.tokens import SLICE, encoder, vocabulary_path
 from tracesieve.session import ship, work_path, written
 
 END_ID = 1
@@ -101,7 +101,7 @@ def token_table(docs: DataFrame, vocabulary: str | None = None, end_id: int = EN
 
     The ids are little-endian and unsigned, of as many bits as ``width`` says.
     """
-    text_batches(docs)
+    text_batches(docs, SLICE)
     path = vocabulary_path(vocabulary)
     kind = width(path, end_id)
 

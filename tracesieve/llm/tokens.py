@@ -13,8 +13,11 @@ import pyarrow.compute as pc
 
 #: Vocabulary file of ``public_tokenizers``; every function takes another path.
 VOCABULARY = "word_bpe_49k.json"
-#: Words, and parts of words, that are new before a worker process forgets those it has not met since as many before.  It changes no result.
+#: Words that are new before a worker process forgets those it has not met since as many before: a query's own, and in a pipeline, whose
+#: workers are shared by stages.  Parts of words are counted likewise.  They change no result.
 MEMORY = 200_000
+SMALL_MEMORY = 60_000
+PARTS = 200_000
 #: Bytes of text encoded at a time.
 SLICE = 6 << 20
 
@@ -24,7 +27,7 @@ _NUMBER = "0-9²³¹¼½¾"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 _ODD = re.compile(r"[^!-~¡-ÿ\n]|<\|")
 
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[tuple[str, int], "WordEncoder"] = {}
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -64,12 +67,12 @@ class WordEncoder:
     plain Latin words, which are cut as its pre-tokenizer cuts them because the parts repeat more.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.pieces = Recent(MEMORY), Recent(MEMORY)
+        self.words, self.pieces = Recent(memory), Recent(PARTS)
         # The byte-level alphabet: bytes that print stand for themselves, the others are numbered from 256.
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
         self.alphabet = {b: chr(256 + n) for n, b in enumerate(hidden)}
@@ -134,8 +137,9 @@ class WordEncoder:
         return ids[where], np.diff(ends[cuts])
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each vocabulary and worker process."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, memory: int | None = None) -> WordEncoder:
+    """One encoder for each vocabulary, memory and worker process."""
+    key = (path, memory or MEMORY)
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
