@@ -1,11 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 from tracesieve.functions.kernels import SCALES, kernel, scale_grid
+from tracesieve.operators import blocks
 from tracesieve.operators.blocks import Limits
 from tracesieve.operators.distance import anchor_features, kernel_expand, pairwise_distance
 from tracesieve.operators.nearness import kernel_reach, pairs_within
@@ -132,3 +134,31 @@ def test_pairs_within_a_distance_are_all_found(spark, l, reach):
 
 def test_reach_of_a_kernel():
     assert np.isclose(np.exp(-kernel_reach(8.0, 1e-3) / 8.0), 1e-3)
+
+
+@pytest.mark.parametrize("operator", ["within"])
+def test_rows_that_ask_every_group_are_sent_in_small_batches(spark, monkeypatch, operator):
+    # one batch of 3000 rows that cannot leave out any group: every row goes to all of them
+    n, width, pivots = 3000, 64, 32
+    x = np.random.default_rng(15).normal(0, 1, (n, width))
+    rows = spark.createDataFrame([(i, i % 2 + 1, v.tolist()) for i, v in enumerate(x)], "curve_id long, y_raw int, x array<double>").coalesce(1)
+    sent, real = [], type(rows).mapInArrow
+
+    def seen(df, function, schema):
+        def measured(batches):
+            for batch in function(batches):
+                yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes], "rows": [batch.num_rows]})
+
+        if getattr(function, "__name__", "") == "ask":
+            sent.extend(real(df, measured, "bytes long, rows long").collect())
+        return real(df, function, schema)
+
+    monkeypatch.setattr(type(rows), "mapInArrow", seen)
+    if operator == "within":
+        pairs_within(rows, rows, 1e3, pivots=pivots)
+        copied = n * pivots
+    else:
+        triplet_hard_pairs(rows, limits=Limits(rows=100), pivots=pivots)
+        copied = n * 2 * pivots
+    assert sum(r["rows"] for r in sent) >= 0.9 * copied
+    assert max(r["bytes"] for r in sent) <= 1.25 * 8 * blocks.SENT < 8 * copied * width / 3

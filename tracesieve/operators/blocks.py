@@ -19,6 +19,7 @@ from tracesieve.session import spread, written
 
 KEY, VEC = "curve_id", "x"
 CELLS = 4 << 20  # point x anchor cells computed at once in a task
+SENT = 1 << 20  # cells computed, or numbers sent, at once where rows are copied to the groups that they ask
 
 
 @dataclass(frozen=True)
@@ -70,6 +71,15 @@ def vectors(rows: np.ndarray) -> pa.Array:
     )
 
 
+def copies(batch: pa.RecordBatch, row: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Row ``row[i]`` with ``g = group[i]`` for every ``i``, in batches of about ``SENT`` numbers: a row may be asked for by every group."""
+    flat = sum(batch.num_rows * 8 if not pa.types.is_list(c.type) else len(c.flatten()) * 8 for c in batch.columns)
+    step = max(1, 8 * SENT * batch.num_rows // max(1, flat))
+    for at in range(0, len(row), step):
+        part = batch.take(pa.array(row[at : at + step]))
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(group[at : at + step].astype(np.int64, copy=False))], names=[*batch.schema.names, "g"])
+
+
 def power_distance(a: np.ndarray, b: np.ndarray, l: float) -> np.ndarray:
     """Sum over |a - b|^l for every pair: the l-norm raised to l."""
     if not (l > 0 and math.isfinite(l)):

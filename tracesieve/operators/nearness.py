@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracesieve.operators.blocks import CELLS, KEY, VEC, matrix, power_distance
+from tracesieve.operators.blocks import KEY, SENT, VEC, copies, matrix, power_distance
 from tracesieve.operators.distance import PAIRS
 from tracesieve.session import spread, written
 
@@ -53,13 +53,15 @@ def pairs_within(a: DataFrame, b: DataFrame, reach: float, l: float = 2.0, pivot
     ids, sizes, least, most = (groups[c].to_numpy() for c in ("g", "n", "least", "most"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SENT // len(shared.value))
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column(1))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                x = matrix(part.column(1))
                 m = power_distance(x, shared.value, l)[:, ids] ** root
                 slack = 1e-6 * (1.0 + np.sqrt((x * x).sum(axis=1))[:, None] + m)
                 row, at = np.nonzero(np.maximum(m - most, least - m) <= near + slack)
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(ids[at])], names=[KEY, VEC, "g"])
+                yield from copies(part, row, ids[at])
 
     asking = spread(a.select(*cols)).mapInArrow(ask, f"{KEY} long, {VEC} array<double>, g long")
     asked = {r["g"]: r["n"] for r in asking.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -72,7 +74,7 @@ def pairs_within(a: DataFrame, b: DataFrame, reach: float, l: float = 2.0, pivot
     schema = to_arrow_schema(PAIRS)
 
     def meet(p: pa.Table, q: pa.Table) -> pa.Table:
-        found, step = [schema.empty_table()], max(1, CELLS // max(1, q.num_rows))
+        found, step = [schema.empty_table()], max(1, SENT // max(1, q.num_rows))
         for start in range(0, p.num_rows if q.num_rows else 0, step):
             some = p.slice(start, step)
             d = power_distance(matrix(some[VEC]), matrix(q[VEC]), l)
