@@ -136,7 +136,7 @@ def test_reach_of_a_kernel():
     assert np.isclose(np.exp(-kernel_reach(8.0, 1e-3) / 8.0), 1e-3)
 
 
-@pytest.mark.parametrize("operator", ["within"])
+@pytest.mark.parametrize("operator", ["within", "triplets"])
 def test_rows_that_ask_every_group_are_sent_in_small_batches(spark, monkeypatch, operator):
     # one batch of 3000 rows that cannot leave out any group: every row goes to all of them
     n, width, pivots = 3000, 64, 32

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracesieve.operators.blocks import CELLS, KEY, VEC, Limits, against_anchors, fetch, matrix, power_distance
+from tracesieve.operators.blocks import KEY, SENT, VEC, Limits, against_anchors, copies, fetch, matrix, power_distance
 from tracesieve.session import spread, written
 
 PIVOTS = 128
@@ -97,12 +97,12 @@ def _asking(members: DataFrame, groups: Groups) -> DataFrame:
     shared = members.sparkSession.sparkContext.broadcast(groups)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, CELLS // max(1, len(groups.size)))
+        step = max(1, SENT // max(1, len(groups.size)))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 row, g = np.nonzero(shared.value.candidates(matrix(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)))
-                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, pa.array(g.astype(np.int64))], names=[KEY, VEC, "label", "g"])
+                yield from copies(part, row, g)
 
     return members.select(KEY, VEC, "label").mapInArrow(ask, members.select(KEY, VEC, "label", "g").schema)
 
@@ -122,7 +122,7 @@ def _by_groups(members: DataFrame, groups: Groups, tile, limits: Limits) -> Data
     def meet(p: pa.Table, q: pa.Table) -> pa.Table:
         if not p.num_rows or not q.num_rows:
             return empty
-        q, step = q.sort_by(KEY), max(1, CELLS // q.num_rows)
+        q, step = q.sort_by(KEY), max(1, SENT // q.num_rows)
         return pa.concat_tables([tile(p.slice(at, step), q) for at in range(0, p.num_rows, step)])
 
     return left.groupBy("g", "part", "block").cogroup(right.groupBy("g", "part", "block")).applyInArrow(meet, HARD)
