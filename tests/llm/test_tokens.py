@@ -1,5 +1,6 @@
 """Tokens, packing and token files against the tokenizers library itself."""
 
+import sys
 import zlib
 from collections import Counter
 
@@ -111,3 +112,20 @@ def test_token_files(spark, documents, rows, tmp_path, monkeypatch):
 
 def test_no_token_files(spark, documents):
     assert token_files.read_token_files(spark, token_files.write_token_files(documents.where("false"))).count() == 0
+
+
+def test_words_met_lately_are_looked_up_without_a_call_each():
+    words = [f"word{i}" for i in range(20_000)]
+    tool = WordEncoder(vocabulary_path(), memory=10_000)
+    text = pa.array([" ".join(words)])
+    (first, _), = tool.encode(text)
+    tool.words.turn()  # all are of the old generation now
+    assert not tool.words.young and len(tool.words.old) == len(words)
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        (again, _), = tool.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert (first == again).all() and len(calls) < 1000
+    assert tool.words.young.keys() == set(words)

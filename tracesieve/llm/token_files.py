@@ -57,6 +57,7 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
 def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The ``count`` ranks, by table lookup for each control byte; bounded runs keep the memory even."""
     places, sizes = _tables()
+    held = (places < 16).astype(np.uint8)
     codes = np.frombuffer(control, np.uint8)
     ends = np.cumsum(sizes[codes])
     raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(32, np.uint8)))
@@ -65,8 +66,8 @@ def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
         part = codes[a : a + (1 << 16)]
         starts = ends[a : a + len(part)] - sizes[part]
         place = places[part]
-        found = raw[np.minimum(starts[:, None] + place, len(raw) - 1)]
-        found[place == 16] = 0
+        found = raw[starts[:, None] + place]
+        found *= held[part]
         out[a : a + len(part)] = found.view("<u4")
     return out.reshape(-1)[:count]
 

@@ -47,10 +47,18 @@ class Recent:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def get(self, key: str) -> bytes | None:
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.young[key] = found
+    def get_all(self, keys: list[str]) -> list[bytes | None]:
+        """The values of distinct keys, None where there is none."""
+        found = list(map(self.young.get, keys))
+        if None in found:
+            lost = [i for i, x in enumerate(found) if x is None]
+            wanted = [keys[i] for i in lost]
+            again = dict(zip(wanted, map(self.old.get, wanted)))
+            for i, x in zip(lost, again.values()):
+                found[i] = x
+            if None in again.values():
+                again = {k: x for k, x in again.items() if x is not None}
+            self.young.update(again)
         return found
 
     def turn(self) -> None:
@@ -86,7 +94,7 @@ class WordEncoder:
     def _learn(self, new: set[str]) -> None:
         self.words.turn()
         self.pieces.turn()
-        words, known, tokenized = self.words.young, self.pieces.get, self.pieces.young
+        words, young, old = self.words.young, self.pieces.young, self.pieces.old
         if _ODD.search("\n".join(new)):
             odd = [w for w in new if _ODD.search(w)]
             new = new.difference(odd)
@@ -96,9 +104,9 @@ class WordEncoder:
             low = w.lower()
             found = []
             for p in (low,) if low.isalpha() else _PIECE.findall(low):
-                ids = known(p)
+                ids = young.get(p)
                 if ids is None:
-                    ids = tokenized[p] = self._piece(p)
+                    ids = young[p] = old.get(p) or self._piece(p)
                 found.append(ids)
             words[w] = found[0] if len(found) == 1 else b"".join(found)
 
@@ -117,15 +125,13 @@ class WordEncoder:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
-        got = list(map(self.words.young.get, distinct))
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = self.words.get_all(distinct)
         if None in got:
-            missing = {w: self.words.get(w) for w, x in zip(distinct, got) if x is None}
-            self._learn({w for w, x in missing.items() if x is None})
-            known = self.words.young
-            for w, x in missing.items():
-                missing[w] = known[w] if x is None else x
-            got = [missing[w] if x is None else x for w, x in zip(distinct, got)]
+            new = [i for i, x in enumerate(got) if x is None]
+            self._learn({distinct[i] for i in new})
+            for i, x in zip(new, map(self.words.young.__getitem__, [distinct[i] for i in new])):
+                got[i] = x
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
         ids = np.frombuffer(b"".join(got), dtype="<u4")
         starts = np.cumsum(lengths) - lengths
