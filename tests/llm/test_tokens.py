@@ -129,3 +129,20 @@ def test_words_met_lately_are_looked_up_without_a_call_each():
         sys.setprofile(None)
     assert (first == again).all() and len(calls) < 1000
     assert tool.words.young.keys() == set(words)
+
+
+def test_new_words_are_encoded_many_in_a_call():
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefgßéÀ"))
+    words = list(dict.fromkeys("".join(w) for w in letters[rng.integers(0, 10, (12_000, 7))]))
+    words[::7] = [f"{w}-{i}'s" for i, w in enumerate(words[::7])]
+    words[::1000] = [f"{w}日\t{w}" for w in words[::1000]]
+    tool, calls = WordEncoder(vocabulary_path()), []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        (ids, counts), = tool.encode(pa.array([" ".join(words), None, "abc\n" + words[3]]))
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 1000
+    want = [ids_of(t) for t in (" ".join(words), None, "abc\n" + words[3])]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want

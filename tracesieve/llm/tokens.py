@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,14 @@ SMALL_MEMORY = 60_000
 PARTS = 200_000
 #: Bytes of text encoded at a time.
 SLICE = 6 << 20
+#: Parts of words that are new, encoded in one call of the library.
+RUN = 256
 
 # Letters and numbers below U+0100 after lower-casing, and the pre-tokenizer's contractions.
 _LETTER = "a-zªµºß-öø-ÿ"
 _NUMBER = "0-9²³¹¼½¾"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
-_ODD = re.compile(r"[^!-~¡-ÿ\n]|<\|")
+_ODD = r"[^!-~¡-ÿ]|<\|"
 
 _encoders: dict[tuple[str, int], "WordEncoder"] = {}
 
@@ -39,32 +41,62 @@ def vocabulary_path(path: str | None = None) -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` that begin at ``starts``, in a row."""
+    where = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    where += np.arange(len(where))
+    return ids[where]
+
+
+class Generation:
+    """Distinct keys and the ids of each, as columns."""
+
+    def __init__(self):
+        self.names = pa.array([], pa.large_string())
+        self.ids, self.starts, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def keys(self) -> set[str]:
+        return set(self.names.to_pylist())
+
+    def find(self, names: pa.Array) -> np.ndarray:
+        """The places of keys, -1 where there is none."""
+        return pc.index_in(names, self.names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, names: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The places of new keys, whose ids are in a row."""
+        first = len(self)
+        self.names = pa.concat_arrays([self.names, names])
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.ids = np.concatenate((self.ids, ids))
+        return np.arange(first, len(self))
+
+
 class Recent:
-    """Values of keys in two generations: what is asked for moves to the young one, and a full young one replaces the old one."""
+    """Ids of keys in two generations: what is asked for moves to the young one, and a full young one replaces the old one."""
 
     def __init__(self, size: int):
         self.size = size
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get_all(self, keys: list[str]) -> list[bytes | None]:
-        """The values of distinct keys, None where there is none."""
-        found = list(map(self.young.get, keys))
-        if None in found:
-            lost = [i for i, x in enumerate(found) if x is None]
-            wanted = [keys[i] for i in lost]
-            again = dict(zip(wanted, map(self.old.get, wanted)))
-            for i, x in zip(lost, again.values()):
-                found[i] = x
-            if None in again.values():
-                again = {k: x for k, x in again.items() if x is not None}
-            self.young.update(again)
-        return found
+        self.young, self.old = Generation(), Generation()
+
+    def find(self, names: pa.Array) -> np.ndarray:
+        """The places of distinct keys in the young generation, -1 where neither has them."""
+        at = self.young.find(names)
+        lost = np.flatnonzero(at < 0)
+        if len(lost) and len(self.old):
+            again = self.old.find(names.take(pa.array(lost)))
+            lost, again = lost[again >= 0], again[again >= 0]
+            lengths = self.old.lengths[again]
+            at[lost] = self.young.add(names.take(pa.array(lost)), gather(self.old.ids, self.old.starts[again], lengths), lengths)
+        return at
 
     def turn(self) -> None:
         """Forget, if the young generation is full."""
         if len(self.young) > self.size:
-            self.young, self.old = {}, self.young
+            self.young, self.old = Generation(), self.young
 
 
 class WordEncoder:
@@ -76,39 +108,62 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, memory: int = MEMORY):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.pieces = Recent(memory), Recent(PARTS)
         # The byte-level alphabet: bytes that print stand for themselves, the others are numbered from 256.
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-        self.alphabet = {b: chr(256 + n) for n, b in enumerate(hidden)}
-
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, new: set[str]) -> None:
-        self.words.turn()
-        self.pieces.turn()
-        words, young, old = self.words.young, self.pieces.young, self.pieces.old
-        if _ODD.search("\n".join(new)):
-            odd = [w for w in new if _ODD.search(w)]
-            new = new.difference(odd)
-            for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
-                words[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        for w in new:
-            low = w.lower()
-            found = []
-            for p in (low,) if low.isalpha() else _PIECE.findall(low):
-                ids = young.get(p)
-                if ids is None:
-                    ids = young[p] = old.get(p) or self._piece(p)
-                found.append(ids)
-            words[w] = found[0] if len(found) == 1 else b"".join(found)
+        self.alphabet = {b: chr(256 + n) for n, b in enumerate(hidden) if b != 32}
+        # The model by itself, for parts of words in that alphabet, with spaces between them.
+        self.cut = Tokenizer(self.tokenizer.model)
+        self.cut.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts of words in a row, and how many each has; many parts make one call."""
+        ids, lengths = [], []
+        for at in range(0, len(pieces), RUN):
+            own = pieces[at : at + RUN]
+            text = " ".join(own)
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.alphabet)
+            found = self.cut.encode(text, add_special_tokens=False)
+            ids.append(np.array(found.ids, "<u4"))
+            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(own)))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Keep the ids of distinct words, and return the words' places."""
+        is_odd = pc.match_substring_regex(new, _ODD)
+        odd, plain = new.filter(is_odd), new.filter(pc.invert(is_odd))
+        low = pc.utf8_lower(plain)
+        whole = pc.utf8_is_alpha(low)
+        parts = [_PIECE.findall(w) for w in low.filter(pc.invert(whole)).to_pylist()]
+        cut = pa.array(list(chain.from_iterable(parts)), pa.large_string())
+        coded = pa.concat_arrays([low.filter(whole), cut]).dictionary_encode()
+        at = self.pieces.find(coded.dictionary)
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            names = coded.dictionary.take(pa.array(lost))
+            lost = lost[np.argsort(~pc.string_is_ascii(names).to_numpy(zero_copy_only=False), kind="stable")]
+            names = coded.dictionary.take(pa.array(lost))
+            at[lost] = self.pieces.young.add(names, *self._encode_pieces(names.to_pylist()))
+        at = at[coded.indices.to_numpy(zero_copy_only=False)]
+        lengths = self.pieces.young.lengths[at]
+        ids = gather(self.pieces.young.ids, self.pieces.young.starts[at], lengths)
+        counts = np.concatenate((np.ones(len(at) - len(cut), np.int64), np.fromiter(map(len, parts), np.int64, len(parts))))
+        sums = np.concatenate(([0], np.cumsum(lengths)))
+        lengths = np.diff(sums[np.concatenate(([0], np.cumsum(counts)))])
+        rest = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(odd.to_pylist(), add_special_tokens=False)]
+        names = pa.concat_arrays([plain.filter(whole), plain.filter(pc.invert(whole)), odd])
+        found = self.words.young.add(names, np.concatenate((ids, *rest)), np.concatenate((lengths, np.fromiter(map(len, rest), np.int64, len(rest)))))
+        # The words were taken apart in this order.
+        is_odd = is_odd.to_numpy(zero_copy_only=False)
+        usual, alone = np.flatnonzero(~is_odd), whole.to_numpy(zero_copy_only=False)
+        places = np.empty(len(new), np.int64)
+        places[np.concatenate((usual[alone], usual[~alone], np.flatnonzero(is_odd)))] = found
+        return places
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts in order: their ids in a row, and how many each has.  A null text has none."""
@@ -125,22 +180,17 @@ class WordEncoder:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        got = self.words.get_all(distinct)
-        if None in got:
-            new = [i for i, x in enumerate(got) if x is None]
-            self._learn({distinct[i] for i in new})
-            for i, x in zip(new, map(self.words.young.__getitem__, [distinct[i] for i in new])):
-                got[i] = x
-        lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
-        ids = np.frombuffer(b"".join(got), dtype="<u4")
-        starts = np.cumsum(lengths) - lengths
-        counts = lengths[index]
+        self.words.turn()
+        self.pieces.turn()
+        at = self.words.find(coded.dictionary)
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            at[lost] = self._learn(coded.dictionary.take(pa.array(lost)))
+        known, place = self.words.young, at[index]
+        counts = known.lengths[place]
         ends = np.concatenate(([0], np.cumsum(counts)))
-        where = np.repeat(starts[index] - ends[:-1], counts)
-        where += np.arange(len(where))
         cuts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
-        return ids[where], np.diff(ends[cuts])
+        return gather(known.ids, known.starts[place], counts), np.diff(ends[cuts])
 
 
 def encoder(path: str, memory: int | None = None) -> WordEncoder:
