@@ -34,6 +34,21 @@ def test_pairwise(table, points, l, limits):
     assert np.allclose(np.diag(m), 0, atol=1e-12)
 
 
+@pytest.mark.parametrize("limits", [PASSES, TILED], ids=["passes", "tiled"])
+def test_every_pair_is_met_once_in_whatever_number_of_tasks(spark, table, points, limits):
+    ids, x, _ = points
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables would else meet in one task
+        got = pairwise_distance(table, table.where("curve_id < 140"), 2.0, limits).toPandas()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(ids) * 40
+    assert np.allclose(got.pivot(index="i", columns="j", values="d").loc[ids, ids[:40]].to_numpy(), dense(x, 2)[:, :40], atol=1e-9)
+
+
 @pytest.mark.parametrize("l", [0.0, -1.0, math.inf, math.nan])
 def test_norm_must_be_finite_and_positive(table, l):
     with pytest.raises(Exception, match="finite positive"):
