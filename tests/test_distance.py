@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracesieve.functions.kernels import SCALES, kernel, scale_grid
 from tracesieve.operators import blocks
 from tracesieve.operators.blocks import Limits
-from tracesieve.operators.distance import anchor_features, kernel_expand, pairwise_distance
+from tracesieve.operators.distance import PAIRS, anchor_features, kernel_expand, pairwise_distance
 from tracesieve.operators.nearness import kernel_reach, pairs_within
 from tracesieve.operators.triplet import pairs_met, triplet_hard_pairs, triplet_loss, triplet_terms
 
@@ -49,6 +49,16 @@ def test_every_pair_is_met_once_in_whatever_number_of_tasks(spark, table, points
     assert np.allclose(got.pivot(index="i", columns="j", values="d").loc[ids, ids[:40]].to_numpy(), dense(x, 2)[:, :40], atol=1e-9)
 
 
+def test_tiles_shuffle_no_copies_of_vectors(table):
+    plan = pairwise_distance(table, table, 2.0, TILED)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan  # blocks are read again from the shared folder, not sent once for each other block
+
+
+def test_tiles_of_an_empty_side(spark, table):
+    for a, b in ((table, table.where("false")), (table.where("false"), table)):
+        assert blocks._in_tiles(a.select("curve_id", "x"), b.select("curve_id", "x"), None, PAIRS, TILED).count() == 0
+
+
 @pytest.mark.parametrize("l", [0.0, -1.0, math.inf, math.nan])
 def test_norm_must_be_finite_and_positive(table, l):
     with pytest.raises(Exception, match="finite positive"):
